@@ -11,18 +11,31 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+BROADCAST_LINKS = 500_000
+SALTS = 16
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _with_least(rows: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+    """``rows`` joined to the least vertex m of their u. ``least`` has at most two rows a link: it is broadcast while
+    that is few. Beyond, the rows of each vertex are dealt over SALTS tasks."""
+    if n_links <= BROADCAST_LINKS:
+        return rows.join(F.broadcast(least), "u")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, ["u", "salt"]).drop("salt")
+
+
+def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     """Each vertex hands its larger neighbours to the least vertex it knows."""
     both = links.union(links.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     """Each vertex and its smaller neighbours point to the least of them. Links are (larger, smaller)."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(links, least, n_links).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -42,7 +55,7 @@ def component_labels(links: DataFrame) -> DataFrame:
     found = checkpointed(found)
     before = _state(found)
     while before[0]:
-        found = _small_star(_large_star(found).where("u <> v")).where("u <> v").distinct()
+        found = _small_star(_large_star(found, before[0]).where("u <> v"), before[0]).where("u <> v").distinct()
         found = checkpointed(found)
         now = _state(found)
         if now == before:

@@ -1,0 +1,72 @@
+import re
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
+from texts import SCHEMA, frame
+
+from splatspark.llm import pii
+
+
+def luhn(number):
+    d = [int(x) for x in re.sub(r"\D", "", number)][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def one(spark, text, key="k"):
+    return pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), key).first()
+
+
+def test_formats_are_kept(spark):
+    cases = {
+        "card": ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467", "378282246310005", "4222222222222"],
+        "ipv4": ["10.0.0.255", "97.51.17.173"],
+        "date": ["1999-12-31", "2024-02-29"],
+        "ssn": ["123-45-6789"],
+        "phone": ["+1 (017) 555-7713", "(212) 555-0100", "+44 207 946 0018"],
+        "email": ["joe.x+y@mail.example"],
+        "secret": ['api_key = "AKIA1234567890"', "password: hunter2hunter2"],
+    }
+    for kind, values in cases.items():
+        for v in values:
+            r = one(spark, f"Say {v}, and {v}.")
+            assert r.kinds == kind and r.n_found == 2, (v, r)
+            new = r.found[0].pseudonym
+            assert r.text == f"Say {new}, and {new}." and new != v
+            if kind in ("card", "date", "ssn", "phone"):
+                assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v)
+            if kind == "card":
+                assert luhn(new)
+            if kind == "date":
+                date.fromisoformat(new)
+            if kind == "ipv4":
+                assert all(0 <= int(x) <= 255 for x in new.split("."))
+            assert one(spark, v, "other").text != new
+
+
+def test_what_is_not_valid_stays(spark):
+    for v in ("4539148803436468", "1.2.3.256", "1.2.3.4.5", "2023-02-29", "666-12-3456", "12345678901234567890123", "a1234-56-78", "", "no numbers", "0000000000000000", "1800-01-01"):
+        r = one(spark, v)
+        assert (r.text, r.n_found, r.kinds) == (v, 0, ""), v
+    r = one(spark, None)
+    assert r.text is None and r.n_found == 0
+
+
+def test_permutations(spark):
+    """Every value of a small domain is met once; walks stay in the valid part."""
+    rows = spark.range(0, 30 * 20).select(pii.feistel(F.col("id"), 30, 20, "k", "t").alias("v")).collect()
+    assert sorted(r.v for r in rows) == list(range(600))
+    days = spark.range(0, pii.DAYS, 7).select(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).cast("string").alias("d"))
+    out = [r.d for r in days.select(pii._date(F.col("d"), "k").alias("d")).collect()]
+    assert len(set(out)) == len(out) and all(date(1900, 1, 1) <= date.fromisoformat(x) < date(1900, 1, 1) + timedelta(pii.DAYS) for x in out)
+    ssn = spark.range(0, 2000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.col("id") % 99 + 1, F.col("id") + 1).alias("s"))
+    out = [r.s for r in ssn.select(pii._ssn(F.col("s"), "k").alias("s")).collect()]
+    assert None not in out and len(set(out)) == 2000
+
+
+def test_table(spark):
+    got = pii.pseudonymised(frame(spark), "k")
+    assert {r.doc_id: r.text for r in got.collect() if r.doc_id is not None} == {r[0]: r[1] for r in frame(spark).collect() if r[0] is not None}
+    assert pii.pseudonymised(frame(spark, []), "k").count() == 0
+    long = "x 10.1.2.3 " * 20_000
+    r = pii.pseudonymised(spark.createDataFrame([(1, long, None, None, None, "a", "b", "c")], SCHEMA), "k").first()
+    assert r.n_found == 20_000 and len(set(x.pseudonym for x in r.found)) == 1

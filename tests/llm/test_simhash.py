@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from texts import frame, rows
 
-from splatspark.llm import simhash
+from splatspark.llm import components, simhash
 from splatspark.llm.components import component_labels
 
 
@@ -35,10 +35,11 @@ def test_against_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 40])
-def test_dense_groups(spark, monkeypatch, shard_rows):
-    """Chains and clusters of fingerprints, and shards cut into chunks."""
+@pytest.mark.parametrize("shard_rows, broadcast_links", [(4096, 500_000), (40, -1)])
+def test_dense_groups(spark, monkeypatch, shard_rows, broadcast_links):
+    """Chains and clusters of fingerprints, shards cut into chunks, and links too many to broadcast."""
     monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(components, "BROADCAST_LINKS", broadcast_links)
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = {int(x) for x in seeds} | {0}
