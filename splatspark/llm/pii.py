@@ -29,7 +29,7 @@ NUMBER_EDGE, NUMBER_END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\\.[A-Za-z0-9-]{1,63}+){1,8}+",
     "secret": "(?<![A-Za-z0-9_])(?i:(?:api|access|secret|auth|private)[_-]?(?:key|token|secret)|password|passwd|token)[\\t ]{0,3}[=:][\\t ]{0,3}[\"']?[A-Za-z0-9_/+.=-]{7,255}[A-Za-z0-9_/+=-][\"']?",
-    "ipv4": NUMBER_EDGE + "[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?!\\.?[0-9A-Za-z])",
+    "ipv4": "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?!\\.?[0-9A-Za-z])",
     "date": NUMBER_EDGE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + NUMBER_END,
     "ssn": NUMBER_EDGE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + NUMBER_END,
     "phone": "(?<![0-9A-Za-z+])(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}" + NUMBER_END + "|(?<![0-9A-Za-z+])\\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}" + NUMBER_END,
@@ -174,7 +174,7 @@ _MAKERS = {"email": _email, "secret": _secret, "ipv4": _ipv4, "date": _date, "ss
 
 def _kind(x: Column) -> Column:
     """The first pattern that the whole match fits, edges left out."""
-    bare = {k: p.replace("(?<![0-9A-Za-z])", "").replace("(?![0-9A-Za-z])", "").replace("(?!\\.?[0-9A-Za-z])", "").replace("(?<![0-9A-Za-z+])", "").replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9_])", "") for k, p in PATTERNS.items()}
+    bare = {k: p.replace("(?<![0-9A-Za-z])", "").replace("(?<![0-9A-Za-z.])", "").replace("(?![0-9A-Za-z])", "").replace("(?!\\.?[0-9A-Za-z])", "").replace("(?<![0-9A-Za-z+])", "").replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9_])", "") for k, p in PATTERNS.items()}
     found = F.when(x.rlike(f"^(?:{bare[KINDS[0]]})$"), KINDS[0])
     for k in KINDS[1:]:
         found = found.when(x.rlike(f"^(?:{bare[k]})$"), k)
