@@ -68,6 +68,20 @@ def label_payloads(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id").applyInPandas(run, "chunk_id int, frame int, payload binary")
 
 
+def labels(payload_rows: DataFrame) -> DataFrame:
+    """Undoes label_payloads(): (chunk_id, frame, rank, label)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, first = [], None
+        for r in pdf.sort_values("frame").itertuples():
+            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.payload), np.uint16)
+            first, got = (got, got) if first is None else (first, got ^ first)
+            out.append(pd.DataFrame({"chunk_id": np.int32(r.chunk_id), "frame": np.int32(r.frame), "rank": np.arange(len(got)), "label": got.astype(np.int32)}))
+        return pd.concat(out)
+
+    return payload_rows.groupBy("chunk_id").applyInPandas(run, "chunk_id int, frame int, rank bigint, label int")
+
+
 def compressed_sizes(rows: DataFrame, column: str) -> DataFrame:
     """Bytes of a frame's column of bytes under several coders: plain, delta, and split into bit planes."""
 

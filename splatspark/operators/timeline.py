@@ -18,6 +18,14 @@ from ..functions import spaces as v
 MAX_TIMES = 10_000
 
 
+def clamped_range(first: int | None, last: int | None, frames: int) -> tuple[int, int]:
+    """Frames asked for, within those there are; None means the end on that side. Raises where nothing is left."""
+    low, high = max(0, 0 if first is None else first), min(frames - 1, frames - 1 if last is None else last)
+    if low > high:
+        raise ValueError(f"no frame from {first} to {last} of {frames}")
+    return low, high
+
+
 @dataclass(frozen=True)
 class TimeDomain:
     low: float

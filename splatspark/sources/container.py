@@ -32,6 +32,15 @@ HEADER = np.dtype(
 RANGES = np.dtype([(f"{n}_{end}", "<f4", (w,)) for n, w in (("means", 3), ("scales", 3), ("quats", 4), ("opacity", 1), ("sh0", 3)) for end in ("min", "max")])
 CHUNK = np.dtype([("start_frame", "<u4"), ("end_frame", "<u4"), ("offset", "<u4"), ("size", "<u4")])
 FRAME = np.dtype([("offset", "<u4"), ("size", "<u4")])
+STATIC_TRACK = np.dtype(
+    {
+        "names": ["magic", "version", "n_splats", "atlas_side", "sh_bands", "flags", "codec", "low_size", "sh_size", "video_size"],
+        "formats": ["S4", "<u4", "<u4", "<u4", "<u4", "<u4", "S16", "<u4", "<u4", "<u4"],
+        "offsets": [0, 4, 8, 12, 16, 20, 24, 40, 44, 48],
+        "itemsize": 64,
+    }
+)
+STATIC_CODEC = b"vp09.00.51.08"
 KEY_FLAG, SIZE_MASK = 0x80000000, 0x7FFFFFFF
 LOW_COLUMNS, LOW_BASE, LOW_XOR, LOW_COUNT = 0x80000000, 0x40000000, 0x20000000, 0x1FFFFFFF
 AUDIO, DIRECTIONAL, MASKS, STATIC = 0x0001, 0x0002, 0x0010, 0x0020
@@ -170,3 +179,39 @@ def low_rows(files: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Files (path, content) of a folder, on any file system that Spark reads."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content"))
+
+
+def static_track(data: bytes) -> dict[str, object]:
+    """Fields, ranges and payloads of a static track, which has one frame and fills its section. Raises where it contradicts itself."""
+    begin = STATIC_TRACK.itemsize + RANGES.itemsize
+    if len(data) < begin:
+        raise ValueError("static track: too short")
+    h = cut(data, STATIC_TRACK, 0)[0]
+    n, side, bands, flags = (int(h[k]) for k in ("n_splats", "atlas_side", "sh_bands", "flags"))
+    sizes = {k: int(h[f"{k}_size"]) for k in ("low", "sh", "video")}
+    wrong = {
+        "magic or version": h["magic"] != STATIC_MAGIC or h["version"] != 1,
+        "number of splats": not 0 < n <= 0x7FFFFFFF or n > side * side,
+        "atlas": not 0 < side <= 0xFFFF or side * 5 > 0xFFFF,
+        "bands": bands > 3 or bool(flags & DIRECTIONAL) != bool(bands) or bool(sizes["sh"]) != bool(bands),
+        "flags": bool(flags & ~(MASKS | DIRECTIONAL)),
+        "codec": h["codec"] != STATIC_CODEC,
+        "sizes": not sizes["low"] or not 0 < sizes["video"] <= 0x7FFFFFFF or begin + sum(sizes.values()) != len(data),
+    }
+    if any(wrong.values()):
+        raise ValueError("static track: " + ", ".join(k for k, bad in wrong.items() if bad))
+    out: dict[str, object] = {"n_splats": n, "atlas_side": side, "sh_bands": bands, "flags": flags, "ranges": cut(data, RANGES, STATIC_TRACK.itemsize)[0]}
+    for k, size in sizes.items():
+        out[k] = data[begin : begin + size]
+        begin += size
+    return out
+
+
+def make_static_track(n: int, side: int, ranges: np.ndarray, low: bytes, video: bytes, sh: bytes = b"", bands: int = 0, masks: bool = False) -> bytes:
+    h = np.zeros(1, STATIC_TRACK)
+    fields = {"magic": STATIC_MAGIC, "version": 1, "n_splats": n, "atlas_side": side, "sh_bands": bands, "flags": (DIRECTIONAL if bands else 0) | (MASKS if masks else 0), "codec": STATIC_CODEC, "low_size": len(low), "sh_size": len(sh), "video_size": len(video)}
+    for k, v in fields.items():
+        h[k] = v
+    data = h.tobytes() + ranges.tobytes() + low + sh + video
+    static_track(data)
+    return data
