@@ -6,11 +6,12 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a text are handled in slices of about this size, so that a worker's memory
 #: doesn't depend on how many rows Spark puts in an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Lower-cases A-Z, keeps 0-9 a-z and every byte over 0x7F, makes a space of all else.
 TERM_TABLE = bytes(
@@ -49,6 +50,19 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices of a column of strings: first row, row beyond, and the texts as bytes. Only one slice is copied out at a time."""
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    sizes = pc.fill_null(pc.binary_length(raw), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate([*sizes, SLICE_BYTES]):
+        if i == len(sizes) or size and size + n > SLICE_BYTES:
+            if i > start:
+                yield start, i, utf8(column.slice(start, i - start))
+            start, size = i, 0
+        size += n
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, kept in the shared folder named by spark.checkpoint.dir.
 

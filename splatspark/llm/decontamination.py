@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_TABLE, slices, term_words, utf8
+from .common import TERM_TABLE, term_words, text_slices
 
 WINDOW = 13
 AUTOMATON_BYTES = 1 << 20
@@ -98,10 +98,10 @@ SPAN = "array<struct<first:bigint,beyond:bigint,from_byte:bigint,to_byte:bigint>
 SPAN_ARROW = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "beyond", "from_byte", "to_byte")]))
 
 
-def _scanned(texts: list[bytes], of: Patterns) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+def _scanned(column: pa.Array, of: Patterns) -> tuple[list[int], list[list[dict]], list[list[str]]]:
     counts, spans, items = [], [], []
-    for a, b in slices(texts):
-        for text in texts[a:b]:
+    for _, _, texts in text_slices(column):
+        for text in texts:
             words = term_words(text)
             found, hit = of.spans(words)
             found = merged(found)
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, spans, items = _scanned(utf8(batch.column(2)), shared.value)
+                counts, spans, items = _scanned(batch.column(2), shared.value)
                 arrays = [pa.array(counts, pa.int64()), pa.array(spans, SPAN_ARROW), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "n_words", "spans", "items"])
 
@@ -197,14 +197,29 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(at))
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            counts: list[int] = [0] * len(texts)
+            spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+            counts: list[int] = [0] * batch.num_rows
             for of in shared:
-                counts, found, _ = _scanned(texts, of.value)
+                counts, found, _ = _scanned(batch.column(at), of.value)
                 for mine, more in zip(spans, found):
                     mine += [(s["first"], s["beyond"]) for s in more]
             hit = [sum(b - a for a, b in merged(s)) for s in spans]
             yield batch.filter(pa.array([not (h and 20 * h >= n) for h, n in zip(hit, counts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: DuckDB SQL for the report, without the place in the text.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bi AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bi),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+h AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM di) JOIN bw USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

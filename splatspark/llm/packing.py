@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, utf8
+from .common import slices, text_slices
 
 SIZE = 2048
 END_ID = 1
@@ -36,7 +36,7 @@ SENTENCE_PENALTY = 4
 WORD_PENALTY = 24
 STRIDE = 32
 BLOCK_TOKENS = 1 << 18
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 300_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -244,10 +244,9 @@ def packed(
         context = TaskContext.get()
         line = _Line(context.partitionId() if context else 0, found.sentence_end, size)
         for batch in batches:
-            texts = utf8(batch.column(1))
             docs_of = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                for doc, ids in zip(docs_of[a:b], found.encode(texts[a:b])):
+            for a, b, texts in text_slices(batch.column(1)):
+                for doc, ids in zip(docs_of[a:b], found.encode(texts)):
                     line.add(doc, ids)
                     if line.tokens >= BLOCK_TOKENS and (out := line.flush(last=False)):
                         yield out

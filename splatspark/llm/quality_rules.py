@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, slices, utf8
+from .common import blank_words, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -163,8 +163,7 @@ def measures(texts: list[bytes], rules: Rules) -> dict[str, list | np.ndarray]:
 
 
 def _measured(batch: pa.RecordBatch, column: int, rules: Rules) -> pa.RecordBatch:
-    texts = utf8(batch.column(column))
-    parts = [measures(texts[a:b], rules) for a, b in slices(texts)]
+    parts = [measures(texts, rules) for _, _, texts in text_slices(batch.column(column))]
     names = [x.split()[0] for x in COLUMNS.split(", ")]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k in names],

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, checkpointed, slices, utf8
+from .common import blank_words, checkpointed, text_slices
 from .components import component_labels
 
 SHINGLE = 4
@@ -66,10 +66,7 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = utf8(batch.column(1))
-        values: list[int] = []
-        for a, b in slices(texts):
-            values += [fingerprint(blank_words(x)) for x in texts[a:b]]
+        values = [fingerprint(blank_words(x)) for _, _, texts in text_slices(batch.column(1)) for x in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
         )

@@ -17,10 +17,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import text_slices
 
 BLOCK = 128
-CACHE_PRETOKENS = 1_000_000
+CACHE_PRETOKENS = 300_000
 #: A pre-token's end depends on what follows it: at most on two pre-tokens (white space before white space before
 #: a word). So many are cut again before an edit.
 CONTEXT = 3
@@ -203,11 +203,11 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(ranks_path, pattern)
         for batch in batches:
-            texts, edits = utf8(batch.column(1)), batch.column(2)
+            edits = batch.column(2)
             rows: list[tuple[int, ...]] = []
-            for a, b in slices(texts):
-                for i in range(a, b):
-                    tree = TokenTree(texts[i].decode("utf-8", "replace"), of)
+            for a, _, texts in text_slices(batch.column(1)):
+                for i, text in enumerate(texts, a):
+                    tree = TokenTree(text.decode("utf-8", "replace"), of)
                     n, k, todo = tree.n_chars, tree.n_tokens, edits[i].as_py() or []
                     for e in todo:
                         if e is not None:
