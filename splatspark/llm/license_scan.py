@@ -86,8 +86,8 @@ def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spark = docs.sparkSession
     templates = _templates()
     known = sorted({t[4] for t in templates})
-    names = "template int, label string, base boolean, pairs int, pair string, place int"
-    sides = spark.createDataFrame(templates, names).withColumn("hash", F.xxhash64("pair"))
+    values = ", ".join(f"({n}, '{label}', {str(base).lower()}, {pairs}, '{pair}', {place})" for n, label, base, pairs, pair, place in templates)
+    sides = spark.sql(f"SELECT *, xxhash64(pair) AS hash FROM VALUES {values} AS t (template, label, base, pairs, pair, place)")
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")

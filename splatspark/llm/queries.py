@@ -48,8 +48,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(
-        [(chat_format.PROBE_ID, i, role, chat_format.PROBE_TEXT) for i, role in enumerate(("user", "assistant"))], turns.schema
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(
+        F.lit(chat_format.PROBE_ID).cast("bigint"), F.col("id").cast(turns.schema["turn"].dataType), role, F.lit(chat_format.PROBE_TEXT)
     )
     return chat_format.digests(turns.union(probe))
 
@@ -59,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("first_byte")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,4 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
     )
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat_format.ORACLE}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
+}
