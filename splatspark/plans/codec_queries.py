@@ -239,16 +239,16 @@ def _(spark, d):
 # Streams
 
 
-@query("R3_tumbling_stream", f"SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, {r('sum(value)', 'total', 3)} FROM events GROUP BY 1, 2")
+@query("R3_tumbling_stream", f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {r('sum(value)', 'total', 3)} FROM events GROUP BY 1, 2")
 def _(spark, d):
     out = streams.drained(streams.tumbling(streams.event_stream(spark, d)))
-    return tidy(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 3)
+    return tidy(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")), 3)
 
 
-@query("E1_sliding_stream", "SELECT w AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")
+@query("E1_sliding_stream", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")
 def _(spark, d):
     """An extension: sliding windows in event time."""
-    return streams.drained(streams.sliding(streams.event_stream(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.drained(streams.sliding(streams.event_stream(spark, d))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("R6_latest_stream", "SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")

@@ -225,11 +225,11 @@ def _(spark, d):
     return f.withColumn("is_key", F.row_number().over(W.partitionBy("chunk_id").orderBy("frame")) == 1)
 
 
-@query("W13_consecutive_dedup", "SELECT user_id, ts, k FROM (SELECT user_id, ts, event_id, CAST(floor(value / 25) AS BIGINT) AS k, lag(CAST(floor(value / 25) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> k")
+@query("W13_consecutive_dedup", "SELECT user_id, event_id, k FROM (SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS k, lag(CAST(floor(value / 25) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> k")
 def _(spark, d):
     rows = table(spark, d, "events").withColumn("k", F.floor(F.col("value") / 25))
     before = F.lag("k").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return rows.withColumn("p", before).where("p is null or p <> k").select("user_id", "ts", "k")
+    return rows.withColumn("p", before).where("p is null or p <> k").select("user_id", "event_id", "k")
 
 
 @query("W14_global_dedup", "SELECT DISTINCT user_id, CAST(floor(value / 25) AS BIGINT) AS k FROM events")
