@@ -1,7 +1,7 @@
 """Time: key frames, as-of lookups, resampling and interpolation.
 
 Key-frame tables are small beside splats, but no size is assumed: lookups are windows over the union of times and key
-frames, dealt by a bucket of time where there are many.
+frames, dealt by buckets of time.
 """
 
 from __future__ import annotations
@@ -66,25 +66,38 @@ def resampled(spark, low: float, high: float, step: float) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("out_frame"), (F.lit(low) + F.col("id") * step).alias("t"))
 
 
-def surrounding(times: DataFrame, keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+def surrounding(times: DataFrame, keys: DataFrame, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
     """For each time t: the key frame at or before it, the one after it, and the share of the way between.
 
     ``keys`` has key (bigint) and kt. Before the first key frame both are the first, behind the last both the last. Of key frames of
-    one time the last is before and the first after. One shuffle: times and key frames meet in a window.
+    one time the last is before and the first after. Times and key frames meet in windows over buckets of time; what a bucket
+    lacks at its ends comes from the first and last key frames of the others, one row a bucket.
     """
     by = by or []
-    w = W.partitionBy(*by).orderBy("t", "order", "key")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    key = F.when(F.col("order") == 0, F.struct("key", F.col("t").alias("kt")))
     rows = times.withColumns({"key": F.lit(None).cast("bigint"), "order": F.lit(1)})
     rows = rows.unionByName(keys.withColumnRenamed("kt", "t").withColumn("order", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumns({"before": F.last(key, ignorenulls=True).over(back), "after": F.first(key, ignorenulls=True).over(ahead)})
-    rows = rows.where("order = 1").drop("key", "order")
-    b, a = F.coalesce("before", "after"), F.coalesce("after", "before")
+    extent = rows.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    rows = rows.crossJoin(F.broadcast(extent)).withColumn("_bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
+    key = F.when(F.col("order") == 0, F.struct(F.col("t").alias("kt"), "key"))
+    ends = rows.groupBy(*by, "_bucket").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    along = W.partitionBy(*by).orderBy("_bucket")
+    ends = ends.select(
+        *by, "_bucket",
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_left"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_right"),
+    )
+    w = W.partitionBy(*by, "_bucket").orderBy("t", "order", "key")
+    rows = rows.withColumns(
+        {"before": F.last(key, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.first(key, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))}
+    )
+    rows = rows.where("order = 1").drop("key", "order").join(ends, [*by, "_bucket"])
+    before, after = F.coalesce("before", "_left"), F.coalesce("after", "_right")
+    b, a = F.coalesce(before, after), F.coalesce(after, before)
     # A time on a key frame is that key frame.
     a = F.when(F.col("t") == b["kt"], b).otherwise(a)
-    share = F.when(a["kt"] == b["kt"], 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(F.col("t") - b["kt"], a["kt"] - b["kt"])))
-    return rows.select(*times.columns, b["key"].alias("key_before"), a["key"].alias("key_after"), share.alias("share"))
+    part = F.when(a["kt"] == b["kt"], 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(F.col("t") - b["kt"], a["kt"] - b["kt"])))
+    return rows.select(*times.columns, b["key"].alias("key_before"), a["key"].alias("key_after"), part.alias("share"))
 
 
 def nearest(times: DataFrame, keys: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -207,3 +207,21 @@ def test_generated_scene_doesn_t_depend_on_partitions(spark):
     a = generated.oscillating(spark, 50, 3).collect()
     b = generated.oscillating(spark, 50, 3).repartition(7).orderBy("gid", "frame").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_static_track_is_checked():
+    data = container.make_static_track(9, 3, np.zeros(1, container.RANGES), b"l" * 27, b"video", masks=True)
+    assert container.static_track(data)["video"] == b"video"
+    for at, value in ((0, 65), (4, 2), (8, 200), (16, 5), (20, 64), (24, 65), (48, 9)):
+        bad = bytearray(data)
+        bad[at] = value
+        with pytest.raises(ValueError):
+            container.static_track(bytes(bad))
+    with pytest.raises(ValueError):
+        container.static_track(data[:100])
+
+
+def test_frame_ranges():
+    assert timeline.clamped_range(None, 0, 5) == (0, 0) and timeline.clamped_range(-3, 99, 5) == (0, 4)
+    with pytest.raises(ValueError):
+        timeline.clamped_range(7, 9, 5)
