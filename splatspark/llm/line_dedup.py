@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: A line on more than 8 % of a site's pages, and on five at least, is boilerplate.
+MAX_RATIO, MIN_PAGES = 0.08, 5
 SALTS = 64
 BROADCAST_KEYS = 2_000_000
 
@@ -30,21 +32,22 @@ def _has_words(line: Column) -> Column:
     return line.rlike("[^ \\t\\r\\f\\x0B]")
 
 
-def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """(site, keys): the keys of each site's boilerplate. ``pages`` has site and lines (array of strings).
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, clean: bool = False) -> DataFrame:
+    """(site, keys): the keys of each site's boilerplate. ``pages`` has site and lines (array of strings); ``clean``
+    lines are trimmed and not blank already.
 
     A line counts from ``min_pages`` pages on: on fewer, repetition tells nothing.
     """
     sizes = pages.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
-    lines = F.array_distinct(F.transform(F.filter("lines", _has_words), line_key))
-    counts = pages.select("site", F.explode(lines).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.transform("lines", lambda x: F.xxhash64(x)) if clean else F.transform(F.filter("lines", _has_words), line_key)
+    counts = pages.select("site", F.explode(F.array_distinct(lines)).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"))
     found = counts.where(F.col("n") >= min_pages).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes, "site")
     return found.where(F.col("n") > max_ratio * F.col("n_pages")).groupBy("site").agg(F.collect_list("key").alias("keys"))
 
 
-def without_boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+def without_boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, clean: bool = False) -> DataFrame:
     """``pages`` (site, lines, ...) with column kept_lines. Blank lines stay where they are."""
-    found = checkpointed(boilerplate(pages, max_ratio, min_pages))
+    found = checkpointed(boilerplate(pages, max_ratio, min_pages, clean))
     size = found.agg(F.coalesce(F.sum(F.size("keys") + 8), F.lit(0))).first()[0]
     if size <= BROADCAST_KEYS:
         joined = pages.join(F.broadcast(found), "site", "left")
@@ -52,7 +55,8 @@ def without_boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> D
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
         joined = pages.withColumn("salt", salt).join(salted, ["site", "salt"], "left").drop("salt")
-    drop = lambda x: F.coalesce(F.array_contains("keys", line_key(x)), F.lit(False)) & _has_words(x)
+    key = F.xxhash64 if clean else line_key
+    drop = lambda x: F.array_contains("keys", key(x)) & (F.lit(True) if clean else _has_words(x))
     kept = F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~drop(x)))
     return joined.withColumn("kept_lines", kept).drop("keys")
 
@@ -66,22 +70,18 @@ def html_lines(html: Column) -> Column:
     """Text lines of a page: block elements end a line, other tags go, common character references are read."""
     text = html
     for pattern, by in (
-        ("(?is)<script\\b[^>]*>.*?</script\\s*>", " "),
-        ("(?is)<style\\b[^>]*>.*?</style\\s*>", " "),
-        ("(?s)<!--.*?-->", " "),
-        ("(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|footer|header|section|title|head|body|html)\\b[^>]*>", "\n"),
+        ("(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->", " "),
+        ("(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|footer|header|section|title|head|body|html)\\b[^>]*>", "\n"),
         ("<[^>]*>", ""),
-        ("&nbsp;", " "),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&amp;", "&"),
     ):
         text = F.regexp_replace(text, pattern, by)
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r\\f\\x0B]+", " "))), lambda x: x != "")
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    # White space is made one space at once; a line's ends are trimmed after the split.
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def page_lines(pages: DataFrame, max_ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def page_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text of every row of ``pages`` (page_id, url, html).
 
     A null or hostless url is a site of its own, the empty host; null html has no lines; repeated rows count as pages
@@ -89,7 +89,7 @@ def page_lines(pages: DataFrame, max_ratio: float = 0.2, min_pages: int = 3) ->
     """
     lines = F.coalesce(html_lines(F.col("html")), F.array().cast("array<string>"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(host(F.col("url")), F.lit("")).alias("site"), lines.alias("lines"))
-    kept = without_boilerplate(rows, max_ratio, min_pages)
+    kept = without_boilerplate(rows, max_ratio, min_pages, clean=True)
     return kept.select(
         "page_id",
         F.col("site").alias("host"),
@@ -99,7 +99,7 @@ def page_lines(pages: DataFrame, max_ratio: float = 0.2, min_pages: int = 3) ->
     )
 
 
-def deduplicated(docs: DataFrame, site_column: str = "source", text_column: str = "text", max_ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, site_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text and n_chars, where there is one, counted anew.
 
     No row is dropped. A null site is one site; a null text stays null.
@@ -125,9 +125,9 @@ ORACLE = r"""
 WITH t AS (
   SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
     replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-        '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'),
-        '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|footer|header|section|title|head|body|html)\b[^>]*>', chr(10), 'gi'),
+      regexp_replace(regexp_replace(regexp_replace(html,
+        '<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'gis'),
+        '</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|footer|header|section|title|head|body|html)\b[^>]*>', chr(10), 'gi'),
         '<[^>]*>', '', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text
   FROM pages),
@@ -137,7 +137,7 @@ l AS (
 h AS (SELECT host, count(*) AS n_pages FROM l GROUP BY host),
 d AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM l),
 c AS (SELECT host, line, count(*) AS n FROM d GROUP BY host, line),
-b AS (SELECT c.host, list(line) AS bad FROM c JOIN h USING (host) WHERE n >= 3 AND n > 0.2 * n_pages GROUP BY c.host),
+b AS (SELECT c.host, list(line) AS bad FROM c JOIN h USING (host) WHERE n >= 5 AND n > 0.08 * n_pages GROUP BY c.host),
 k AS (SELECT page_id, l.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
   FROM l LEFT JOIN b USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,

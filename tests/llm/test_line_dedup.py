@@ -29,7 +29,7 @@ def test_against_counting(spark, monkeypatch):
     want = sorted((str(d[0]), None if x is None else "\n".join(x)) for d, x in zip(data, plain(pages, 0.2, 3)))
     for bound in (2_000_000, -1):
         monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", bound)
-        got = line_dedup.deduplicated(frame(spark, data))
+        got = line_dedup.deduplicated(frame(spark, data), max_ratio=0.2, min_pages=3)
         assert got.columns == frame(spark, data).columns
         rows = got.collect()
         assert sorted((str(r.doc_id), r.text) for r in rows) == want
@@ -40,6 +40,6 @@ def test_against_counting(spark, monkeypatch):
 def test_pages(spark):
     html = lambda i: f"<html><script>var t='<p>no</p>';</script><nav>Menu &amp; more</nav><p>Text {i}<br>x<b>y</b></p><!-- c --></html>"
     rows = [(i, f"HTTPS://u@Host{i % 2}.example:80/p?q={i}", html(i)) for i in range(8)] + [(8, None, None), (9, "nothing", "<p>Menu &amp; more")]
-    got = {r.page_id: r for r in line_dedup.page_lines(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    got = {r.page_id: r for r in line_dedup.page_lines(spark.createDataFrame(rows, "page_id bigint, url string, html string"), 0.2, 3).collect()}
     assert (got[3].host, got[3].n_lines, got[3].n_dropped, got[3].text) == ("host1.example", 3, 2, "Text 3")
     assert (got[8].host, got[8].n_lines, got[8].text) == ("", 0, "") and got[9].text == "Menu & more"
