@@ -115,9 +115,9 @@ class Frustum:
 
 @dataclass(frozen=True)
 class Range:
-    """Of one column; ``scale_max`` and the like are ranges of an expression."""
+    """Of an expression, given as SQL text, so that a filter is a plain value."""
 
-    column: Column | None = None
+    column: str = ""
     low: float = -INF
     high: float = INF
 
@@ -126,17 +126,18 @@ class Range:
         return self.low == -INF and self.high == INF
 
     def predicate(self) -> Column:
-        parts = ([self.column >= self.low] if self.low > -INF else []) + ([self.column <= self.high] if self.high < INF else [])
+        value = F.expr(self.column)
+        parts = ([value >= self.low] if self.low > -INF else []) + ([value <= self.high] if self.high < INF else [])
         return parts[0] & parts[1] if len(parts) > 1 else parts[0]
 
 
 def opacity_range(low: float = -INF, high: float = INF) -> Range:
-    return Range(F.col("opacity"), low, high)
+    return Range("opacity", low, high)
 
 
 def scale_range(low: float = -INF, high: float = INF) -> Range:
     """Of the largest axis."""
-    return Range(F.greatest("s0", "s1", "s2"), low, high)
+    return Range("greatest(s0, s1, s2)", low, high)
 
 
 def predicate(*filters, invert: bool = False) -> Column | None:
