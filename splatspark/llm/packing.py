@@ -11,7 +11,7 @@ linear in the cuts. The line is taken in blocks; the last window of a block open
 memory is bounded by a block and the longest document. Partitions are packed alone, without a
 shuffle; each leaves at most one short sequence.
 
-A sequence is padded to ``size``, except at a power of two, which is a size of its own.
+A sequence is padded to ``size``, except at a power of two, which is a size of its own; the program doesn't aim at those.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,18 +60,30 @@ class Encoder:
         for token, i in vocabulary.items():
             self.word_end[i] = token.endswith("</w>")
             self.sentence_end[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids = array("I")
         self.starts = array("q", [0])
-
-    def _add(self, chunks: list[str]) -> None:
+        self.uses = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keeps the half of the cache that is used most."""
+        order = np.argsort(-self.uses[: len(self.number)], kind="stable")[: CACHE_CHUNKS // 2]
+        keep = np.sort(order[self.uses[order] > 1])
+        starts, ids = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
+        first, lengths = starts[keep], starts[keep + 1] - starts[keep]
+        ends = np.cumsum(lengths)
+        pick = np.arange(int(lengths.sum())) + np.repeat(first - (ends - lengths), lengths)
+        chunks = list(self.number)  # in the order of their numbers
+        self.number = {chunks[i]: n for n, i in enumerate(keep.tolist())}
+        self.ids = array("I", ids[pick].tobytes()) if len(pick) else array("I")
+        self.starts = array("q", np.concatenate(([0], ends)).astype(np.int64).tobytes())
+        self.uses = self.uses[keep]
+
+    def _add(self, chunks: list[str], counts: list[int]) -> None:
         """Encodes new chunks, many in a call; where the split can't be told from the ids, one by one."""
         for at in range(0, len(chunks), 256):
             part = chunks[at : at + 256]
-            words = [_words(x) for x in part]
+            words = counts[at : at + 256]
             if all(words):
                 ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
                 ends = np.flatnonzero(self.word_end[ids]) + 1
@@ -87,15 +100,20 @@ class Encoder:
         out: list[np.ndarray] = []
         for a, b in slices(texts):
             if len(self.number) > CACHE_CHUNKS:
-                self.clear()
+                self.trim()
             whole = {i for i in range(a, b) if b"<|" in texts[i]}
             chunks = [[] if i in whole else texts[i].lower().split() for i in range(a, b)]
             number = self.number
             if new := [x.decode("utf-8", "replace") for x in set().union(*chunks).difference(number)]:
-                new.sort(key=lambda x: not _words(x))
-                number.update((x.encode(), len(self.starts) - 1 + i) for i, x in enumerate(new))
-                self._add(new)
+                words = [_words(x) for x in new]
+                order = sorted(range(len(new)), key=lambda i: not words[i])
+                new = [new[i] for i in order]
+                number.update(zip([x.encode() for x in new], range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
+                self._add(new, [words[i] for i in order])
             place = np.array([number[x] for chunk in chunks for x in chunk], np.int64)
+            uses = np.bincount(place, minlength=len(number))
+            uses[: len(self.uses)] += self.uses
+            self.uses = uses
             starts = np.array(self.starts, np.int64) if len(place) else np.zeros(1, np.int64)
             first = starts[place]
             lengths = starts[place + 1] - first if len(place) else first
@@ -112,12 +130,17 @@ class Encoder:
         return out
 
 
+#: Fixed value: how the tokenizer cuts normalised text.
+PRETOKEN = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+
+
 def _words(chunk: str) -> int:
-    """How many words the tokenizer makes of a chunk of Latin letters with or without one mark behind; 0: can't tell."""
-    letters = chunk[:-1] if chunk[-1:] in ".,;:!?" else chunk
-    if not letters.isalpha() or max(letters) > "\u024f" or "\u0130" in letters:
+    """How many words the tokenizer makes of a chunk whose letters its normaliser leaves alone but for case; 0: can't tell."""
+    if chunk.isascii():
+        return 1 if chunk.isalpha() else len(PRETOKEN.findall(chunk))
+    if max(chunk) > "\u024f" or "\u0130" in chunk:
         return 0
-    return 1 + (letters is not chunk)
+    return 1 if chunk.isalpha() else len(PRETOKEN.findall(chunk.lower()))
 
 
 def encoder(path: str) -> Encoder:
@@ -161,8 +184,7 @@ def best_cuts(places: list[int], penalty: list[int], size: int = SIZE) -> list[i
         while at[queue[0]] < here - size:
             queue.popleft()
         i = queue[0]
-        best = value[i] + size - here if here - at[i] != 1 else cost[i]
-        cost.append(best + penalty[j - 1])
+        cost.append(value[i] + size - here + penalty[j - 1])
         back.append(i)
         mine = cost[j] + here
         value.append(mine)

@@ -21,6 +21,16 @@ def test_ids_are_those_of_the_tokenizer(texts):
     assert [x.tolist() for x in packing.encoder(PATH).encode([t.encode() for t in texts])] == want
 
 
+def test_a_small_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 40)
+    own = packing.Encoder(PATH)
+    for k in range(6):
+        texts = [" ".join(f"word{(i * i + 7 * k) % 61} the, Éa!! x###" for i in range(30)), "", "a b\x1cc it's '"]
+        want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == want
+        assert len(own.number) <= 40 + 100
+
+
 def check(got, data, size):
     tokenizer = Tokenizer.from_file(PATH)
     want = {}
