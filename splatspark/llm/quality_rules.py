@@ -67,7 +67,7 @@ def repeats(words: np.ndarray, docs: np.ndarray, min_repeat: int) -> dict[str, n
     """Per document of a batch: words in repeated three-word windows, words in repeats of ``min_repeat`` or
     more, the longest repeat, and occurrences of maximal repeats.
 
-    ``words``: numbers from 1, under 2**20; ``docs``: ascending document numbers from 0.
+    ``words``: numbers from 1, under 2**31; ``docs``: ascending document numbers from 0.
     """
     n, m = len(words), int(docs[-1]) + 1 if len(docs) else 0
     out = {k: np.zeros(m, np.int64) for k in ("window", "covered", "longest", "maximal")}
@@ -77,7 +77,14 @@ def repeats(words: np.ndarray, docs: np.ndarray, min_repeat: int) -> dict[str, n
     left = ends[docs] - np.arange(n)  # words from here to the document's end
     padded = np.concatenate((words.astype(np.int64), [0, 0]))
     one, two = np.where(left > 1, padded[1 : n + 1], 0), np.where(left > 2, padded[2 : n + 2], 0)
-    order, heads = _ranked(padded[:n] << 40 | one << 20 | two)
+    if padded.max() < 1 << 20:
+        keys = padded[:n] << 40 | one << 20 | two
+    else:  # three numbers don't fit: pairs are ranked first
+        order, heads = _ranked(padded[:n] << 32 | one)
+        keys = np.empty(n, np.int64)
+        keys[order] = heads
+        keys = keys << 32 | two
+    order, heads = _ranked(keys)
     gram = np.empty(n, np.int64)
     gram[order] = heads
     order, heads = _ranked(docs.astype(np.int64) << 32 | gram)
@@ -140,8 +147,6 @@ def measures(texts: list[bytes], rules: Rules) -> dict[str, list | np.ndarray]:
     counts = np.fromiter(map(len, words), np.int64, len(words))
     numbers: dict[bytes, int] = {}
     number = [numbers.setdefault(w, len(numbers) + 1) for x in words for w in x]
-    if len(numbers) >= 1 << 20:
-        raise OverflowError("more than a million different words in one text")
     found = repeats(np.array(number, np.int64), np.repeat(np.arange(len(texts)), counts), rules.min_repeat)
     found = {k: np.concatenate((v, np.zeros(len(texts) - len(v), np.int64))) for k, v in found.items()}
     base_failed = (counts < rules.min_words) | (100 * found["window"] > rules.max_repeat_percent * counts)

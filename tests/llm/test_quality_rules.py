@@ -1,11 +1,12 @@
 import re
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from texts import frame, rows
 
-from splatspark.llm.quality_rules import Rules, measures, quality_filter, quality_measures
+from splatspark.llm.quality_rules import Rules, measures, quality_filter, quality_measures, repeats
 
 
 def plain(text, rules=Rules()):
@@ -59,3 +60,14 @@ def test_long_repeat_is_measured():
     got = measures([f"{passage} x {rest} {passage}".encode()], Rules())
     assert got["longest_repeat"][0] == 700 and got["covered_words"][0] == 1400 and got["n_maximal_repeats"][0] == 2
     assert not got["base_failed"][0] and not got["kept"][0]
+
+
+def test_more_than_a_million_different_words():
+    passage = [b"p%d" % i for i in range(60)]
+    text = b" ".join(passage + [b"%d" % i for i in range((1 << 20) + 10)] + passage)
+    got = measures([text], Rules())
+    assert [int(got[k][0]) for k in ("n_words", "longest_repeat", "covered_words", "n_repeat_words")] == [(1 << 20) + 130, 60, 120, 120]
+    rng = np.random.default_rng(1)
+    words, docs = rng.integers(1, 6, 3000), np.repeat(np.arange(3), 1000)
+    few, many = (repeats(w, docs, 4) for w in (words, words + (1 << 20)))
+    assert all((few[k] == many[k]).all() for k in few)
