@@ -28,7 +28,7 @@ NUMBER_EDGE, NUMBER_END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 #: One of these, in this order, at each place.
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\\.[A-Za-z0-9-]{1,63}+){1,8}+",
-    "secret": "(?<![A-Za-z0-9_])(?i:(?:api|access|secret|auth|private)[_-]?(?:key|token|secret)|password|passwd|token)[\\t ]{0,3}[=:][\\t ]{0,3}[\"']?[A-Za-z0-9_/+.=-]{7,255}[A-Za-z0-9_/+=-][\"']?",
+    "secret": "(?<![A-Za-z0-9_])(?i:(?:api|access|secret|auth|private)[_-]?(?:key|token|secret)|password|passwd|token)[\\t ]{0,3}[=:][\\t ]{0,3}[\"']?[A-Za-z0-9_/+.=-]{7,}[A-Za-z0-9_/+=-][\"']?",
     "ipv4": "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?!\\.?[0-9A-Za-z])",
     "date": NUMBER_EDGE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + NUMBER_END,
     "ssn": NUMBER_EDGE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + NUMBER_END,

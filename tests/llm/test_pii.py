@@ -67,3 +67,12 @@ def test_table(spark):
     long = "x 10.1.2.3 " * 20_000
     r = pii.pseudonymised(spark.createDataFrame([(1, long, None, None, None, "a", "b", "c")], SCHEMA), "k").first()
     assert r.n_found == 20_000 and len(set(x.pseudonym for x in r.found)) == 1
+
+
+def test_whole_secrets(spark):
+    """Beyond 256 characters too, and different ones with one beginning get different pseudonyms."""
+    values = ["aB3" * 200 + "x", "aB3" * 200 + "y", "aB3" * 10_000]
+    docs = spark.createDataFrame([(i, f"token={v}. End") for i, v in enumerate(values)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, "k").collect()}
+    assert all(re.fullmatch(r"token=s[0-9a-f]{24}\. End", r.text) and r.kinds == "secret" for r in got.values())
+    assert len({r.text for r in got.values()}) == 3
