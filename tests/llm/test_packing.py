@@ -18,7 +18,29 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.lists(st.text(max_size=60) | st.text(alphabet="abÉéß'sİΣﬁ́  \u0085\x0b\x1c\n.,!<|>1", max_size=60), max_size=5))
 def test_ids_are_those_of_the_tokenizer(texts):
     want = [packing.encoder(PATH).tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in packing.encoder(PATH).encode([t.encode() for t in texts])] == want
+    assert [x.tolist() for x, _ in packing.encoder(PATH).encode([t.encode() for t in texts])] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcdefghilmnoprstuéèß'’.,!?\"()0123456789-", min_size=1, max_size=24))
+def test_ids_of_words(word):
+    assert packing.encoder(PATH)._chunk_ids(word.lower().encode()) == packing.encoder(PATH).tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_ids_of_the_whole_vocabulary():
+    own = packing.encoder(PATH)
+    words = [t.removesuffix("</w>") for t in own.tokenizer.get_vocab() if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha()]
+    words += [a + b for a, b in zip(words, reversed(words))]
+    want = own.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [own.merged(w.lower().encode() + packing.WORD_END) for w in words] == [x.ids for x in want]
+
+
+def test_sentence_ends():
+    text = "First one. Pi is 3.14 here! E.g. this, by J. Smith? He said \"no.\" End"
+    (ids, ends), (whole, whole_ends) = packing.encoder(PATH).encode([text.encode(), (text + " <| xy.").encode()])
+    parts = [packing.encoder(PATH).tokenizer.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], [*ends, len(ids)])]
+    assert [p.replace(" ", "").replace("</w>", "") for p in parts] == ["firstone.", "piis3.14here!", "e.g.this,byj.smith?", 'hesaid"no."', "end"]
+    assert whole_ends.tolist() == [*ends.tolist(), len(whole)] and whole[: len(ids)].tolist() == ids.tolist()
 
 
 def test_a_small_cache_gives_the_same_ids(monkeypatch):
@@ -27,7 +49,7 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch):
     for k in range(6):
         texts = [" ".join(f"word{(i * i + 7 * k) % 61} the, Éa!! x###" for i in range(30)), "", "a b\x1cc it's '"]
         want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == want
+        assert [x.tolist() for x, _ in own.encode([t.encode() for t in texts])] == want
         assert len(own.number) <= 40 + 100
 
 
@@ -71,9 +93,8 @@ def test_empty(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 8), st.integers(0, 9)), min_size=1, max_size=12))
-def test_cuts_are_the_best(steps):
-    size = 10
+@given(st.lists(st.tuples(st.integers(1, 8), st.integers(0, 9)), min_size=1, max_size=12), st.sampled_from([8, 10, 16]), st.booleans())
+def test_cuts_are_the_best(steps, size, open_end):
     places = np.cumsum([a for a, _ in steps]).tolist()
     penalty = [p for _, p in steps]
 
@@ -81,8 +102,18 @@ def test_cuts_are_the_best(steps):
         at = [0, *cuts]
         if any(b - a > size for a, b in zip(at, at[1:])):
             return None
-        return sum(size - (b - a) + penalty[places.index(b)] for a, b in zip(at, at[1:]))
+        return sum(packing.padding(b - a, size) + penalty[places.index(b)] for a, b in list(zip(at, at[1:]))[: len(cuts) - open_end])
 
     every = [[p for i, p in enumerate(places[:-1]) if m >> i & 1] + places[-1:] for m in range(1 << (len(places) - 1))]
     best = min(c for c in map(cost, every) if c is not None)
-    assert cost(packing.best_cuts(places, penalty, size)) == best
+    assert cost(packing.best_cuts(places, penalty, size, open_end)) == best
+
+
+def test_cuts_lie_at_sentence_or_document_ends():
+    """But for stretches longer than a sequence."""
+    ends, sentences = np.array([50, 130, 400]), np.array([10, 30, 60, 90, 129])
+    places, penalty = packing.candidate_cuts(ends, sentences, size=64, stride=32)
+    assert places.tolist() == [10, 30, 50, 60, 90, 129, 130, *range(162, 400, 32), 400]
+    assert penalty.tolist() == [4, 4, 0, 4, 4, 4, 0, *[24] * 8, 0]
+    places, _ = packing.candidate_cuts(ends, sentences, size=512)
+    assert places.tolist() == sorted({*ends.tolist(), *sentences.tolist()})
