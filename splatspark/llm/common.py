@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,20 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         size += n
 
 
+def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words ``[^\\x20\\x09-\\x0D]+`` of some texts with A-Z lower-cased, the number of each word of the texts one after another, and the
+    words of each text. Arrow tells words apart, so Python sees each different one once."""
+    column = pa.array(texts, pa.large_binary()).view(pa.large_string())
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(column)))
+    flat, counts = words.flatten(), words.value_lengths().to_numpy().copy()
+    blank = np.fromiter((not x.strip() for x in texts), bool, len(texts))
+    if blank.any():  # such a text is one empty word
+        flat = flat.filter(pc.not_equal(flat, ""))
+        counts[blank] = 0
+    found = flat.dictionary_encode()
+    return found.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), counts
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, kept in the shared folder named by spark.checkpoint.dir.
 
