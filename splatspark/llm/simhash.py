@@ -4,7 +4,8 @@ Fingerprints are compared under Hamming distance. A vantage-point tree puts a fi
 shards by its distance to vantage points; for a pair within ``max_bits`` the triangle inequality
 bounds how far their distances to any vantage point can differ, so other branches are pruned.
 
-Two levels are used:
+On whole 64-bit fingerprints these bounds prune little, as distances crowd around 32: such a tree alone compares over half of all
+pairs (README has figures), which no large table can bear. So two levels are used:
 
 * The top levels split the 64 bits into ``n`` disjoint blocks. Block distances add up to the
   whole distance, so a pair within ``max_bits`` has distance zero on some ``n - max_bits`` blocks.
@@ -14,7 +15,7 @@ Two levels are used:
   so that shards stay small at any size; every choice is exact.
 * Inside a shard, distances of whole fingerprints to a vantage fingerprint split it at the median;
   the inner half also takes the fingerprints up to ``max_bits`` beyond the boundary, so pairs across
-  it are found there. Leaves are compared pair by pair.
+  it are found there. Leaves are compared pair by pair; a shard of up to ``LEAF_ROWS`` is a leaf.
 
 Shards of more than ``SHARD_ROWS`` fingerprints are cut into chunks, and each pair of chunks is
 a task of its own. A shard returns a spanning forest of its links, not its pairs.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import blank_words, checkpointed, text_slices
 from .components import component_labels
+from .near_copies import BROADCAST_IDS, components
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -230,13 +232,15 @@ def near_duplicates(
     return fps.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id.
+def one_of_each_group(docs: DataFrame, max_bits: int | None = None, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id.
 
-    The ids to drop are broadcast while they are at most ``broadcast_rows`` (16 MB); beyond, the
-    anti-join shuffles. Rows with a null id stay.
+    Groups are linked by similar sets of five-word shingles (``near_copies``), or by fingerprints within ``max_bits`` where that is given.
+    The ids to drop are broadcast while they are at most ``broadcast_rows``, about 40 bytes each in a broadcast relation; beyond, the
+    anti-join shuffles. Rows with a null id stay; rows of one id go or stay together; null and empty texts are copies of each other; an empty
+    table gives an empty one; all columns are kept.
     """
-    found = near_duplicates(docs, max_bits=max_bits)
+    found = components(docs, broadcast_rows=broadcast_rows) if max_bits is None else near_duplicates(docs, max_bits=max_bits)
     drop = checkpointed(found.where("component_id <> doc_id").select("doc_id").distinct())
     small = drop.count() <= broadcast_rows
     return docs.join(F.broadcast(drop) if small else drop, "doc_id", "left_anti").select(*docs.columns)

@@ -1,9 +1,8 @@
 import random
 
-import corpus_pipeline
 from texts import SCHEMA, frame, rows
 
-from splatspark.llm import near_copies
+from splatspark.llm import near_copies, simhash
 
 
 def similarity(a, b):
@@ -47,7 +46,7 @@ def test_against_brute_force(spark):
         assert got == plain_components(data)
 
 
-def test_pipeline_stage_drops_near_copies(spark):
+def test_one_of_each_group_drops_near_copies(spark):
     """At a similarity of about 0.87 fingerprints of 64 bits are more than four bits apart."""
     rng = random.Random(1)
     docs = []
@@ -55,8 +54,21 @@ def test_pipeline_stage_drops_near_copies(spark):
         base = [f"g{g}w{rng.randrange(9000)}" for _ in range(400)]
         docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:380] + [f"e{i}" for i in range(20)]))]
     data = [(i, t, "en", "s", len(t), "x", "y", "z") for i, t in docs] + [(None, docs[0][1], *[None] * 6)]
-    stage = dict(corpus_pipeline.STAGES)["near_copies"]
-    kept = stage(spark, spark.createDataFrame(data, SCHEMA), "")
+    kept = simhash.one_of_each_group(spark.createDataFrame(data, SCHEMA))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == list(range(0, 40, 2))
     assert kept.where("doc_id is null").count() == 1
-    assert stage(spark, frame(spark, []), "").count() == 0
+    assert simhash.one_of_each_group(frame(spark, [])).count() == 0
+
+
+def test_sets_of_a_slice_are_those_of_each_text():
+    texts = [r[1].encode() for r in near_rows()[:20]] + [b"", b"  ", b"a b c", b"a b c d e", b"a a a a a a a a"]
+    shingles, counts = near_copies.shingle_sets(texts)
+    keys = near_copies.band_keys(shingles, counts)
+    assert counts[20:].tolist() == [0, 0, 1, 1, 1] and len(keys) == len(texts) - 2
+    at = 0
+    for i, text in enumerate(texts):
+        alone, n = near_copies.shingle_sets([text])
+        assert alone.tolist() == shingles[at : at + counts[i]].tolist() == sorted(set(alone.tolist()))
+        at += counts[i]
+        if n[0]:
+            assert (near_copies.band_keys(alone, n)[0] == keys[i - 2 * (i > 20)]).all()

@@ -77,10 +77,10 @@ def test_more_blocks_for_more_rows():
 
 def test_one_of_each_group(spark):
     docs = frame(spark)
-    kept = simhash.one_of_each_group(docs)
+    kept = simhash.one_of_each_group(docs, 4)
     assert kept.columns == docs.columns
     pairs = [(r[0], plain_fingerprint(r[1])) for r in rows()]
     want = [i for (i, _), c in zip(pairs, plain_components(pairs)) if i is None or i == c]
     assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect())
-    assert simhash.one_of_each_group(frame(spark, []), broadcast_rows=-1).count() == 0
-    assert sorted(str(r.doc_id) for r in simhash.one_of_each_group(docs, broadcast_rows=-1).collect()) == sorted(map(str, want))
+    assert simhash.one_of_each_group(frame(spark, []), 4, broadcast_rows=-1).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.one_of_each_group(docs, 4, broadcast_rows=-1).collect()) == sorted(map(str, want))
