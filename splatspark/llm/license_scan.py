@@ -1,21 +1,22 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-Documents and templates are cut into rolling word pairs. Pairs are hashed and joined to the places where templates hold
-the same pair; the text of the pair is compared as well, so a hash can't mislead. A match at document word p and
-template word t votes for the diagonal p - t. Neighbouring diagonals (insertions and deletions move the
-diagonal) are merged, and a span is verified if it holds enough different pairs of its template over a
+All rolling word pairs of all documents are hashed and joined to the places where templates hold the same pair; the words are compared as well, so a
+hash can't mislead. A match at document word p and template word t votes for the diagonal p - t. Votes of one diagonal that lie
+close in the text are a segment; segments of a notice on neighbouring diagonals (insertions and deletions move the
+diagonal) that follow each other both in the text and in the template are merged into a span, so a notice told twice is two spans, and stray
+pairs beside a notice stay out of its span. A span is verified if it holds enough pairs of its template over a
 stretch not much longer than the template.
 
 A base phrase is a template that must match whole on one diagonal; each such diagonal is one place.
-The templates are a fixed list of a few hundred pairs, so that side is broadcast, and pairs that no template has are
-sieved out before rows are made of them. All later steps are on those few rows.
+The templates are a fixed list of a few hundred pairs, so that side is broadcast. Each document brings one pair of nulls, which a
+template of its own holds, so documents without a match stay. What matches is shuffled once, by document.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,66 +60,63 @@ NOTICES = (
 )
 
 MIN_SHARE = 0.75
-MAX_DRIFT = 3
+#: Merged are diagonals up to MAX_DRIFT apart, over up to MAX_GAP words of text; a segment has MIN_VOTES, or all of a shorter template.
+MAX_DRIFT, MAX_GAP, MIN_VOTES = 3, 12, 3
 
 
 def _templates() -> list[tuple]:
-    """(template, label, base, pairs of the template, first word, second word, place)."""
-    out = []
+    """(template, label, base, pairs of the template, first word, second word, place); the one of template -1 stands for a document."""
+    out: list[tuple] = [(-1, "", False, 1, None, None, 0)]
     for number, (text, label, base) in enumerate([(*x, True) for x in PHRASES] + [(*x, False) for x in NOTICES]):
         words = re.findall(r"[0-9a-z]+", text)
-        out += [(number, label, base, len(words) - 1, f"{a} {b}", i) for i, (a, b) in enumerate(zip(words, words[1:]))]
+        out += [(number, label, base, len(words) - 1, a, b, i) for i, (a, b) in enumerate(zip(words, words[1:]))]
     return out
 
 
-def _pair(words: Column, at: Column) -> Column:
-    return F.concat_ws(" ", F.element_at(words, at), F.element_at(words, at + 1))
+def _sides(spark: SparkSession) -> DataFrame:
+    quoted = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+    rows = ", ".join(f"({n}, '{label}', {str(base).lower()}, {pairs}, {quoted(a)}, {quoted(b)}, {place})" for n, label, base, pairs, a, b, place in _templates())
+    return spark.sql(f"SELECT *, xxhash64(t1, t2) AS hash FROM VALUES {rows} AS t (template, label, base, pairs, t1, t2, place)")
 
 
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    spans: label, first and last word of each verified span of a notice and each place of a base phrase, in order. score: the
+    spans: label, first word and the one beyond of each verified span of a notice and each place of a base phrase, in order. score: the
     greatest share of a template's pairs found in a span, 1 for a base phrase. A null text is empty: no words, empty
-    labels, score 0. Repeated rows and rows with a null id are scanned each; an empty table gives
+    labels, score 0. A very long text is scanned whole. Repeated rows and rows with a null id are scanned each; an empty table gives
     an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
-    templates = _templates()
-    known = sorted({t[4] for t in templates})
-    values = ", ".join(f"({n}, '{label}', {str(base).lower()}, {pairs}, '{pair}', {place})" for n, label, base, pairs, pair, place in templates)
-    sides = spark.sql(f"SELECT *, xxhash64(pair) AS hash FROM VALUES {values} AS t (template, label, base, pairs, pair, place)")
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
-    ).select("row", "doc_id", words.alias("words"))
-    starts = F.when(F.size("words") > 1, F.sequence(F.lit(1), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    first = sorted({p.split()[0] for p in known})
-    likely = F.filter(starts, lambda i: F.element_at("words", i).isin(first))
-    pairs = F.filter(
-        F.transform(likely, lambda i: F.struct((i - 1).alias("at"), _pair(F.col("words"), i).alias("pair"))), lambda x: x["pair"].isin(known)
-    )
-    rolled = rows.select("row", "doc_id", F.size("words").cast("bigint").alias("n_words"), F.explode_outer(pairs).alias("p"))
-    rolled = rolled.select("row", "doc_id", "n_words", F.col("p.at").alias("at"), F.col("p.pair").alias("pair"), F.xxhash64("p.pair").alias("hash"))
-    met = rolled.join(F.broadcast(sides), ["hash", "pair"], "left")
+    ).select("row", "doc_id", F.concat(words, F.array(F.lit(None).cast("string"))).alias("words"))
+    n = F.size("words")
+    rolled = rows.select("row", "doc_id", (n - 1).cast("bigint").alias("n_words"), F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, n).alias("b"))).alias("at", "p"))
+    rolled = rolled.select("row", "doc_id", "n_words", "at", F.col("p.a").alias("w1"), F.col("p.b").alias("w2"), F.xxhash64("p.a", "p.b").alias("hash"))
+    sides = F.broadcast(_sides(docs.sparkSession))
+    same = (rolled["hash"] == sides["hash"]) & rolled["w1"].eqNullSafe(sides["t1"]) & rolled["w2"].eqNullSafe(sides["t2"])
+    met = rolled.join(sides, same).select("row", "doc_id", "n_words", "template", "label", "base", "pairs", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     keys = ["row", "doc_id", "n_words", "template", "label", "base", "pairs"]
-    # Votes of one diagonal, then islands of neighbouring diagonals of a notice that lie close in the text.
-    votes = met.groupBy(*keys, (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count_distinct("place").alias("n"), F.min("at").alias("from_word"), F.max("at").alias("to_word"), F.collect_set("place").alias("places")
+    # Votes of one diagonal, in segments.
+    along = W.partitionBy("row", "template", "diagonal").orderBy("at")
+    far = F.coalesce(F.col("at") - F.lag("at").over(along) > MAX_GAP, F.lit(False))
+    segments = met.repartition("row").withColumn("segment", F.sum(far.cast("int")).over(along)).groupBy(*keys, "diagonal", "segment").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("from_word"), (F.max("at") + 2).alias("to_word"), F.min("place").alias("from_place"), F.max("place").alias("to_place")
     )
-    order = W.partitionBy("row", "template").orderBy("diagonal")
-    gap = (F.col("diagonal") - F.lag("diagonal").over(order) > MAX_DRIFT) | F.col("base") | F.lag("diagonal").over(order).isNull()
-    islands = votes.withColumn("island", F.sum(gap.cast("int")).over(order))
+    segments = segments.where(F.col("n") >= F.least(F.lit(MIN_VOTES), F.col("pairs")))
+    # Segments that follow each other in the text and in the template.
+    order = W.partitionBy("row", "template").orderBy("from_word", "diagonal")
+    before = lambda c: F.lag(c).over(order)
+    follows = (F.abs(F.col("diagonal") - before("diagonal")) <= MAX_DRIFT) & (F.col("from_word") - before("to_word") <= MAX_GAP) & (F.col("from_place") > before("to_place"))
+    islands = segments.withColumn("island", F.sum((F.col("base") | ~F.coalesce(follows, F.lit(False))).cast("int")).over(order))
     spans = islands.groupBy(*keys, "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"),
-        F.min("from_word").alias("from_word"),
-        (F.max("to_word") + 1).alias("to_word"),
-        F.min("diagonal").alias("diagonal"),
+        F.sum("n").alias("n"), F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"), F.min("diagonal").alias("diagonal")
     )
-    length = F.col("to_word") - F.col("from_word")
+    notice = ~F.col("base") & (F.col("template") >= 0)
     whole = F.col("base") & (F.col("n") == F.col("pairs"))
-    fuzzy = ~F.col("base") & (F.col("n") >= MIN_SHARE * F.col("pairs")) & (length <= 1.5 * F.col("pairs") + MAX_DRIFT)
-    sure = spans.withColumn("base_hit", F.coalesce(whole, F.lit(False))).withColumn("hit", F.coalesce(whole | fuzzy, F.lit(False)))
+    fuzzy = notice & (F.col("n") >= MIN_SHARE * F.col("pairs")) & (F.col("to_word") - F.col("from_word") <= 1.5 * F.col("pairs") + MAX_DRIFT)
+    sure = spans.withColumn("base_hit", whole).withColumn("hit", whole | fuzzy)
     share = F.when(F.col("hit"), F.least(F.lit(1.0), F.col("n") / F.col("pairs")))
     of = lambda flag, x: F.when(F.col(flag), x)
     place = F.col("diagonal").cast("bigint")
