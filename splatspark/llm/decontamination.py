@@ -4,9 +4,10 @@ The automaton holds every 13-word window of every normalised benchmark item (an
 window), over an alphabet of one letter per different benchmark word. A document is normalised to words, every
 word to its letter, and scanned once; places are mapped back to byte offsets of the original text.
 
-The benchmark is the query set, not the corpus. It is collected while its text is at most
-``AUTOMATON_BYTES``; beyond that it is dealt into blocks of about that size, each with
-an automaton of its own, and the hits of the blocks are joined per document.
+The benchmark is the query set, not the corpus. Up to ``AUTOMATON_BYTES`` of its text are one automaton; a larger benchmark is dealt into blocks of
+about that size with an automaton each. Up to ``KEPT`` of them are built once in a worker process and kept, and a text is read once and scanned by
+all. Beyond that the documents go through several passes of KEPT blocks each, with a checkpoint between, so that the memory of
+driver and workers is bounded at any size of the benchmark; the hits of all passes are united per document.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import TERM_TABLE, term_words, text_slices
+from .common import TERM_TABLE, checkpointed, term_words, text_slices
 
 WINDOW = 13
 AUTOMATON_BYTES = 1 << 20
+KEPT = 4
 
-_built: dict[str, ahocorasick.Automaton] = {}
+Items = list[tuple[str, bytes]]
 
 
 def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -36,9 +39,9 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 class Patterns:
-    """The windows of a block of items, one character for each different word of the block."""
+    """The windows of a block of items and their automaton, one character for each different word of the block."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW) -> None:
+    def __init__(self, items: Items, size: int = WINDOW) -> None:
         of: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             for w in windows(term_words(text), size):
@@ -46,20 +49,11 @@ class Patterns:
         words = sorted({w for x in of for w in x})
         self.letters = {w: chr(i + 1 if i + 1 < 0xD800 else i + 0x801) for i, w in enumerate(words)}  # surrogates left out
         self.windows = {"".join(self.letters[w] for w in x): (len(x), tuple(sorted(y))) for x, y in of.items()}
-        self.name = hashlib.sha256(repr((words, sorted(self.windows.items()))).encode("utf-8")).hexdigest()
-
-    def automaton(self) -> ahocorasick.Automaton:
-        """Built once in a worker process."""
-        if self.name not in _built:
-            if len(_built) >= 4:
-                _built.clear()
-            made = ahocorasick.Automaton()
-            for window, value in self.windows.items():
-                made.add_word(window, value)
-            if self.windows:
-                made.make_automaton()
-            _built[self.name] = made
-        return _built[self.name]
+        self.automaton = ahocorasick.Automaton()
+        for window, value in self.windows.items():
+            self.automaton.add_word(window, value)
+        if self.windows:
+            self.automaton.make_automaton()
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans [first, beyond) of the windows in a document, and the items they are of."""
@@ -67,12 +61,25 @@ class Patterns:
         spans: list[tuple[int, int]] = []
         if not self.windows or not words:
             return spans, items
-        for end, (n, of) in self.automaton().iter("".join(map(self.letters.get, words, repeat("\0")))):
+        for end, (n, of) in self.automaton.iter("".join(map(self.letters.get, words, repeat("\0")))):
             spans.append((end + 1 - n, end + 1))
             items.update(of)
         return spans, items
 
 
+_built: dict[str, Patterns] = {}
+
+
+def patterns(block: Items) -> Patterns:
+    """Built once in a worker process while at most KEPT different ones are in use."""
+    name = hashlib.sha256(repr(block).encode()).hexdigest()
+    if name not in _built:
+        if len(_built) >= KEPT:
+            _built.clear()
+        _built[name] = Patterns(block)
+    return _built[name]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Their union, ascending."""
     out: list[tuple[int, int]] = []
@@ -94,71 +101,101 @@ def original_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return [(int(starts[a]), int(ends[b - 1])) for a, b in spans]
 
 
-SPAN = "array<struct<first:bigint,beyond:bigint,from_byte:bigint,to_byte:bigint>>"
-SPAN_ARROW = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "beyond", "from_byte", "to_byte")]))
+SPAN = "array<struct<first:bigint,beyond:bigint>>"
+SPAN_ARROW = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "beyond")]))
 
 
-def _scanned(column: pa.Array, of: Patterns) -> tuple[list[int], list[list[dict]], list[list[str]]]:
-    counts, spans, items = [], [], []
+def _scanned(column: pa.Array, blocks: list[Patterns], keep: bool) -> Iterator[tuple[bytes, int, list[tuple[int, int]], set[str]]]:
+    """Of each text: itself (empty where nothing was found, unless ``keep``), its number of words, the merged spans of all blocks, and the
+    items they are of."""
     for _, _, texts in text_slices(column):
         for text in texts:
             words = term_words(text)
-            found, hit = of.spans(words)
-            found = merged(found)
-            counts.append(len(words))
-            spans.append(
-                [
-                    dict(zip(("first", "beyond", "from_byte", "to_byte"), (*s, *o)))
-                    for s, o in zip(found, original_offsets(text, found))
-                ]
-            )
-            items.append(sorted(hit))
-    return counts, spans, items
-
-
-def _blocks(benchmark: DataFrame) -> list[Patterns]:
-    """Patterns of the whole benchmark, in blocks of about AUTOMATON_BYTES of text."""
+            spans: list[tuple[int, int]] = []
+            items: set[str] = set()
+            for of in blocks:
+                found, hit = of.spans(words)
+                spans += found
+                items |= hit
+            yield text if spans or keep else b"", len(words), merged(spans), items
+
+
+def _passes(benchmark: DataFrame) -> Iterator[tuple[list[Items], bool]]:
+    """Groups of up to KEPT blocks of about AUTOMATON_BYTES of text, that together are the whole benchmark, and whether more will come. One group
+    is collected at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.where("item_id is not null and text is not null")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // AUTOMATON_BYTES))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [Patterns([(r[0], bytes(r[1])) for r in rows.where(block == k).collect()]) for k in range(n)]
+    block = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    for begin in range(0, n, KEPT):
+        end = min(begin + KEPT, n)
+        blocks: list[Items] = [[] for _ in range(begin, end)]
+        for k, item, text in rows.where((block >= begin) & (block < end)).select(block, "item_id", "text").collect():
+            blocks[k - begin].append((item, bytes(text)))
+        yield [sorted(x) for x in blocks], end < n
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in (x.lower() for x in taken):
+        name += "_"
+    return name
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text_column: str, finish, schema: str | StructType) -> DataFrame:
+    """``docs`` through all passes. ``finish(batch, hits)`` makes a batch of the last pass's output, ``hits`` being
+    (text, words, spans, items) of each row over the whole benchmark."""
+    names = docs.columns
+    at = names.index(text_column)
+    # Between passes, spans and items ride along in two more columns.
+    held = [_free_name(x, names) for x in ("spans", "items")]
+    context = docs.sparkSession.sparkContext
+    found, first = docs, True
+    for blocks, more in _passes(benchmark):
+        shared = context.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, more=more) -> Iterator[pa.RecordBatch]:
+            of = [patterns(x) for x in shared.value]
+            for batch in batches:
+                hits = list(_scanned(batch.column(at), of, keep=not first))
+                if not first:
+                    spans, items = (batch.column(i).to_pylist() for i in (-2, -1))
+                    hits = [(t, n, merged(s + [(x["first"], x["beyond"]) for x in a]), i | set(b)) for (t, n, s, i), a, b in zip(hits, spans, items)]
+                    batch = batch.select(names)
+                if not more:
+                    yield finish(batch, hits)
+                    continue
+                spans = pa.array([[{"first": a, "beyond": b} for a, b in s] for _, _, s, _ in hits], SPAN_ARROW)
+                items = pa.array([sorted(i) for *_, i in hits], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, spans, items], names=[*names, *held])
+
+        if more:
+            carried = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{held[0]}` {SPAN}, `{held[1]}` array<string>").fields])
+            found, first = checkpointed(found.mapInArrow(run, carried)), False
+        else:
+            found = found.mapInArrow(run, schema)
+    return found
+
+
+COLUMNS = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,beyond:bigint,from_byte:bigint,to_byte:bigint>>, items array<string>"
+PLACES = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "beyond", "from_byte", "to_byte")]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, spans, items) of every row of ``docs``.
 
     spans: the union of all windows' occurrences, by word and by byte of the original UTF-8 text; items: the sorted item
-    ids whose windows occur. A null or empty text has no words, a null item is left out, items of the same text
-    both count, an empty benchmark hits nothing, repeated rows are scanned each.
+    ids whose windows occur. A null or empty text has no words, a very long one is scanned whole, a null item is left out, items of the same text
+    both count, an empty benchmark hits nothing, repeated rows are scanned each; other columns are not read.
     """
-    schema = f"row bigint, doc_id bigint, n_words bigint, spans {SPAN}, items array<string>"
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")
-    )
-
-    def scan(of: Patterns):
-        shared = docs.sparkSession.sparkContext.broadcast(of)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                counts, spans, items = _scanned(batch.column(2), shared.value)
-                arrays = [pa.array(counts, pa.int64()), pa.array(spans, SPAN_ARROW), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "n_words", "spans", "items"])
 
-        return rows.mapInArrow(run, schema)
+    def finish(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        spans = [[dict(zip(("first", "beyond", "from_byte", "to_byte"), (*s, *o))) for s, o in zip(x[2], original_offsets(x[0], x[2]))] for x in hits]
+        arrays = [pa.array([x[1] for x in hits], pa.int64()), pa.array(spans, PLACES), pa.array([sorted(x[3]) for x in hits], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "spans", "items"])
 
-    parts = [scan(of) for of in _blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-    # A document's spans and items are at most as many as its words and the items of the benchmark.
-    return union.groupBy("row", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    ).drop("row")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    return _hits(rows, benchmark, "text", finish, COLUMNS)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -166,17 +203,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     contaminated: some word is hit, and at least a twentieth of the words are.
     """
-    # Spans of one automaton don't overlap; those of several may, so words are counted once.
-    spans = F.array_sort("spans")
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to")),
-        lambda s, x: F.struct(
-            (s["n"] + F.greatest(F.lit(0).cast("bigint"), x["beyond"] - F.greatest(x["first"], s["to"]))).alias("n"),
-            F.greatest(s["to"], x["beyond"]).alias("to"),
-        ),
-    )["n"]
-    hit = contamination(docs, benchmark).withColumn("n_hit", state)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["beyond"] - x["first"])
+    hit = contamination(docs, benchmark).withColumn("n_hit", n_hit)
     return hit.select(
         "doc_id",
         "n_words",
@@ -189,24 +217,19 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` without the contaminated rows, with all their columns; one pass over the table, no shuffle."""
-    at = docs.columns.index(text_column)
-
-    blocks = _blocks(benchmark)
-    shared = [docs.sparkSession.sparkContext.broadcast(of) for of in blocks]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            counts: list[int] = [0] * batch.num_rows
-            for of in shared:
-                counts, found, _ = _scanned(batch.column(at), of.value)
-                for mine, more in zip(spans, found):
-                    mine += [(s["first"], s["beyond"]) for s in more]
-            hit = [sum(b - a for a, b in merged(s)) for s in spans]
-            yield batch.filter(pa.array([not (h and 20 * h >= n) for h, n in zip(hit, counts)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """``docs`` without the contaminated rows, with all their columns; no shuffle.
+
+    A null or empty text is not contaminated; repeated rows are judged each; an empty benchmark drops nothing; an empty table gives an empty one.
+    """
+
+    def finish(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        clean = []
+        for _, n, spans, _ in hits:
+            hit = sum(b - a for a, b in spans)
+            clean.append(not (hit and 20 * hit >= n))
+        return batch.filter(pa.array(clean, pa.bool_()))
+
+    return _hits(docs, benchmark, text_column, finish, docs.schema)
 
 
 #: DuckDB SQL for the report, without the place in the text.

@@ -40,7 +40,7 @@ def tables():
     return data + [data[5], (None, "zz yy", None, None, None, None, None, None)], items
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
+@pytest.mark.parametrize("block", [1 << 20, 300, 60])  # one automaton, a few, several passes
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", block)
     data, items = tables()
@@ -49,7 +49,7 @@ def test_against_brute_force(spark, monkeypatch, block):
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination_report(docs, bench).collect())
     assert got == sorted((str(d[0]), *plain(d[1], items)) for d in data)
     kept = decontamination.decontaminated(docs, bench)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in data if not plain(d[1], items)[-1])
 
 
@@ -69,3 +69,19 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in decontamination.contamination_report(docs, none).collect()] == [(2, 0, False)]
     assert decontamination.contamination_report(docs.limit(0), none).count() == 0
     assert decontamination.decontaminated(docs, none).count() == 1
+
+
+def test_passes_hold_each_item_once_and_automata_are_kept(spark, monkeypatch):
+    _, items = tables()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 60)
+    passes = list(decontamination._passes(bench))
+    assert len(passes) > 2 and [more for _, more in passes] == [True] * (len(passes) - 1) + [False]
+    assert sorted(i for blocks, _ in passes for b in blocks for i, _ in b) == sorted(str(i) for i, t in items if i is not None and t is not None)
+    built = []
+    monkeypatch.setattr(decontamination, "Patterns", lambda block: built.append(block) or len(built))
+    monkeypatch.setattr(decontamination, "_built", {})
+    for blocks, _ in passes[:2]:
+        for _ in range(5):  # batches
+            [decontamination.patterns(b) for b in blocks]
+    assert len(built) == sum(len({repr(b) for b in blocks}) for blocks, _ in passes[:2]) and len(decontamination._built) <= decontamination.KEPT
