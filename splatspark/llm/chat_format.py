@@ -111,28 +111,35 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def events_of_rows(conversations: DataFrame) -> DataFrame:
-    """Event log of a table of whole turns (conv_id, turn, role, text): each row is opened and streamed in two halves.
+    """Event log of a table of whole turns (conv_id, turn, role, text), as a client would have sent it: each turn is opened, streamed wrongly, regenerated,
+    streamed in two halves with the first one edited between, and some turns come with another message that is deleted. What is left
+    of the log is the table.
 
     Rows of one turn are messages of their own, ordered by role and text; a null turn comes first.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     half = (F.char_length(text) / 2).cast("int")
-    base = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 40))) * 4
-    event = lambda n, kind, role, x: F.struct((base + n).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), x.alias("text"))
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    base = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 40))) * 16
     none = F.lit(None).cast("string")
-    log = F.array(
-        event(0, "open", F.col("role").cast("string"), F.lit("")),
-        event(1, "delta", none, F.substring(text, F.lit(1), half)),
-        event(2, "delta", none, F.substring(text, half + 1, F.char_length(text))),
-    )
+    role = F.col("role").cast("string")
+
+    def event(n: int, kind: str, x: Column = none, of: Column = none, message: Column = F.col("message")) -> Column:
+        return F.struct(message.alias("message"), (base + n).alias("seq"), F.lit(kind).alias("kind"), of.alias("role"), x.alias("text"))
+
+    log = [event(0, "open", of=role), event(1, "delta", rest), event(2, "regenerate"), event(3, "delta", first), event(4, "delta", F.lit("?")), event(5, "edit", first), event(6, "delta", rest)]
+    gone = -1 - F.col("message")
+    deleted = [event(7, "open", first, role, gone), event(8, "delta", rest, message=gone), event(9, "delete", message=gone)]
+    some = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0
     numbered = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message"))
-    rows = numbered.select("conv_id", "message", F.explode(log).alias("e"))
-    return rows.select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")
+    rows = numbered.select("conv_id", F.explode(F.when(some, F.array(*log, *deleted)).otherwise(F.array(*log))).alias("e"))
+    return rows.select("conv_id", "e.message", "e.seq", "e.kind", "e.role", "e.text")
 
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans) of a table of turns. Rows with a null conv_id are one conversation; an empty table
-    gives none; other columns are not read."""
+    """(conv_id, formatted, loss_spans) of a table of turns. Rows with a null conv_id are one conversation; null texts and roles are empty;
+    repeated rows are turns each; an empty table gives none; other columns are not read. A conversation is one value of the output, so it is
+    put together in one task, however long it is."""
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     return rendered(folded(events_of_rows(rows)))
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: A line on more than 8 % of a site's pages, and on five at least, is boilerplate.
-MAX_RATIO, MIN_PAGES = 0.08, 5
+#: A line on more than a fifth of a site's pages, and on two at least, is boilerplate. The floor shields what stands on one page of a small site;
+#: the ratio lies above that of short lines that meet by chance (README).
+MAX_RATIO, MIN_PAGES = 0.2, 2
 SALTS = 64
 BROADCAST_KEYS = 2_000_000
 
@@ -84,8 +85,8 @@ def html_lines(html: Column) -> Column:
 def page_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text of every row of ``pages`` (page_id, url, html).
 
-    A null or hostless url is a site of its own, the empty host; null html has no lines; repeated rows count as pages
-    each; an empty table gives an empty one; other columns are not read.
+    A null or hostless url is a site of its own, the empty host; null html has no lines; very long pages are one array of lines;
+    repeated rows count as pages each; an empty table gives an empty one; other columns are not read.
     """
     lines = F.coalesce(html_lines(F.col("html")), F.array().cast("array<string>"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(host(F.col("url")), F.lit("")).alias("site"), lines.alias("lines"))
@@ -102,7 +103,8 @@ def page_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 def deduplicated(docs: DataFrame, site_column: str = "source", text_column: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text and n_chars, where there is one, counted anew.
 
-    No row is dropped. A null site is one site; a null text stays null.
+    No row is dropped. A null site is one site; a null text stays null, an empty one empty; a very long text is one array of lines; repeated rows
+    count as pages each; an empty table gives an empty one. n_chars keeps its type.
     """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
@@ -115,7 +117,7 @@ def deduplicated(docs: DataFrame, site_column: str = "source", text_column: str
         if c == text_column:
             of = F.col("new")
         elif c == "n_chars":
-            of = F.coalesce(F.char_length("new").cast("bigint"), of)
+            of = F.coalesce(F.char_length("new").cast(docs.schema[c].dataType), of)
         columns.append(of.alias(c))
     return kept.select(*columns)
 
@@ -137,7 +139,7 @@ l AS (
 h AS (SELECT host, count(*) AS n_pages FROM l GROUP BY host),
 d AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM l),
 c AS (SELECT host, line, count(*) AS n FROM d GROUP BY host, line),
-b AS (SELECT c.host, list(line) AS bad FROM c JOIN h USING (host) WHERE n >= 5 AND n > 0.08 * n_pages GROUP BY c.host),
+b AS (SELECT c.host, list(line) AS bad FROM c JOIN h USING (host) WHERE n >= 2 AND n > 0.2 * n_pages GROUP BY c.host),
 k AS (SELECT page_id, l.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
   FROM l LEFT JOIN b USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
