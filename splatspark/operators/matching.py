@@ -7,27 +7,41 @@ everything, so the number of rounds is the logarithm of the extent over the cell
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .sequences import ranked_in_buckets
 
 XYZ = ("x", "y", "z")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage: in the shared checkpoint folder where there is one, else in a folder of this session (tests)."""
-    import tempfile
-
+    """Cut lineage, in the shared checkpoint folder. Only a session in one process (tests) may do without the setting and gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(own_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder for a session in one process; a cluster must name a shared one in spark.checkpoint.dir."""
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="splatspark-")
+
+
+def globally_ranked(rows: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Rank from 0 over all rows. They are dealt by ranges of the order, ranked inside each range and moved by the sizes of the ranges before, so
+    no task has all rows."""
+    dealt = checkpointed(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    return ranked_in_buckets(dealt, [], F.col("_range"), order, name).drop("_range")
+
+
 def _cell(names, width: float) -> list[Column]:
     return [F.floor(F.col(c) / width).cast("bigint") for c in names]
 
@@ -123,6 +137,6 @@ def assigned_blocks(rows: DataFrame, centroids: list[tuple[float, float, float]]
     room = kept.groupBy("block").count()
     blocks = rows.sparkSession.range(len(centroids)).select(F.col("id").cast("int").alias("block"))
     free = blocks.join(room, "block", "left").select("block", F.explode(F.sequence(F.lit(1), F.lit(capacity) - F.coalesce("count", F.lit(0)).cast("int"))).alias("i")).where("i > 0")
-    number = lambda df, *order: df.withColumn("n", F.row_number().over(W.orderBy(*order)))
-    rest = number(placed.where(F.col("n") > capacity).select("gid"), "gid").join(number(free, "block", "i"), "n").select("gid", "block")
+    left = globally_ranked(placed.where(F.col("n") > capacity).select("gid"), ["gid"], "n")
+    rest = left.join(globally_ranked(free, ["block", "i"], "n"), "n").select("gid", "block")
     return kept.union(rest)

@@ -30,17 +30,20 @@ def _(spark, d):
     return tidy(matching.neighbours(*_sides(spark, d)).select("cur", "prev", "d2"), 9)
 
 
+PASSES = range(1, 11)
+
+
 def _pass_sql(n: int) -> str:
     before = "" if n == 1 else "WHERE " + " AND ".join(f"cur NOT IN (SELECT cur FROM w{i}) AND prev NOT IN (SELECT prev FROM w{i})" for i in range(1, n))
     return (
-        f"n{n} AS (SELECT cur, min(struct_pack(d := {_D2}, prev := prev)) AS m FROM a, b {before} GROUP BY cur), "
-        f"w{n} AS (SELECT m.prev AS prev, min(struct_pack(d := m.d, cur := cur)).cur AS cur, min(m.d) AS d2, CAST({n} AS INTEGER) AS pass FROM n{n} GROUP BY m.prev)"
+        f"n{n} AS MATERIALIZED (SELECT cur, min(struct_pack(d := {_D2}, prev := prev)) AS m FROM a, b {before} GROUP BY cur), "
+        f"w{n} AS MATERIALIZED (SELECT m.prev AS prev, min(struct_pack(d := m.d, cur := cur)).cur AS cur, min(m.d) AS d2, CAST({n} AS INTEGER) AS pass FROM n{n} GROUP BY m.prev)"
     )
 
 
-@query("J6_slot_matching", f"WITH {_AB}, {', '.join(_pass_sql(n) for n in (1, 2, 3))} SELECT cur, prev, {r('d2', 'd2', 9)}, pass FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)")
+@query("J6_slot_matching", f"WITH {_AB}, {', '.join(map(_pass_sql, PASSES))} SELECT cur, prev, {r('d2', 'd2', 9)}, pass FROM ({' UNION ALL '.join(f'SELECT * FROM w{n}' for n in PASSES)})")
 def _(spark, d):
-    return tidy(matching.matched(*_sides(spark, d), passes=3).select("cur", "prev", "d2", "pass"), 9)
+    return tidy(matching.matched(*_sides(spark, d), passes=len(PASSES)).select("cur", "prev", "d2", "pass"), 9)
 
 
 @query(
@@ -107,7 +110,7 @@ def _(spark, d):
 @query("A17_kmeans")
 def _(spark, d):
     s = splats(spark, d)
-    return palette.labelled(s, palette.trained(s, 8, rounds=3))
+    return palette.labelled(s, palette.trained(s, max(64, s.count() // 10), rounds=20))
 
 
 # Payloads
@@ -147,7 +150,7 @@ def _(spark, d):
 
 @query("T6_swap_refinement")
 def _(spark, d):
-    rows = sequences.by_chunk(tracks(spark, d)).where("frame % 4 = 0").select("chunk_id", "gid", F.col("gid").alias("rank"), F.col("x").alias("value"))
+    rows = sequences.by_chunk(tracks(spark, d)).groupBy("chunk_id", "gid").agg(F.min_by("x", "frame").alias("value")).withColumn("rank", F.col("gid"))
     return payloads.swapped(rows)
 
 
@@ -228,12 +231,11 @@ def _(spark, d):
 @query("T1_frame_order", "SELECT 'frame_' || n || '.PLY' AS path, row_number() OVER (ORDER BY n) - 1 AS frame FROM (SELECT DISTINCT user_id AS n FROM events)")
 def _(spark, d):
     """Files named by number, in their natural order."""
-    from pyspark.sql import Window as W
-
     from ..functions import bits
 
     paths = table(spark, d, "events").select(F.concat(F.lit("frame_"), F.col("user_id").cast("string"), F.lit(".PLY")).alias("path")).distinct()
-    return paths.select("path", (F.row_number().over(W.orderBy(bits.natural_key(F.col("path")))) - 1).cast("bigint").alias("frame"))
+    ranked = matching.globally_ranked(paths.withColumn("key", bits.natural_key(F.col("path"))), ["key"], "frame")
+    return ranked.select("path", F.col("frame").cast("bigint").alias("frame"))
 
 
 # Streams

@@ -44,9 +44,7 @@ def _(spark, d):
 @query("S6_format_detection", f"WITH {SPLATS_SQL} SELECT frame, count(*) AS n, CAST(14 + 45 AS BIGINT) AS properties FROM s GROUP BY frame")
 def _(spark, d):
     """The header alone tells a file's layout."""
-    sniff = F.udf(lambda b: [ply.header(bytes(b))[1], len(ply.header(bytes(b))[0].names)], "array<bigint>", useArrow=True)
-    files = ply.rendered(splats(spark, d)).withColumn("h", sniff(F.substring("content", 1, 4096)))
-    return files.select("frame", F.col("h")[0].alias("n"), F.col("h")[1].alias("properties"))
+    return ply.layouts(ply.rendered(splats(spark, d)))
 
 
 @query("K3_export_frame", f"WITH {SPLATS_SQL} SELECT gid, isinf(CASE WHEN gid % 4 = 0 THEN -CAST('inf' AS DOUBLE) ELSE opacity END) AS invisible, {r('s1', 's1', 4)} FROM s")

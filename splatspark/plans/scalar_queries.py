@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, spaces
 from ..functions import geometry as g
-from ..operators import edit, filters
+from ..operators import edit, filters, matching
 from .registry import query, r, tidy
 from .views import CHUNKS_SQL, EVENTS_SQL, LINES_SQL, SPLATS_SQL, TRACKS_SQL, chunks, event_splats, line_splats, splats, table, tracks
 
@@ -24,7 +23,7 @@ clampq = lambda x, a, b: f"greatest(least({x}, {a}), {b})"
 )
 def _(spark, d):
     rows = table(spark, d, "pages").select("page_id", "url", bits.natural_key(F.col("url")).alias("key"))
-    return rows.select("page_id", "url", F.row_number().over(Window.orderBy("key", "page_id")).cast("bigint").alias("rank"))
+    return matching.globally_ranked(rows, ["key", "page_id"]).select("page_id", "url", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 @query(
@@ -479,9 +478,9 @@ def _(spark, d):
     return tidy(filters.require_finite(tracks(spark, d), ("x", "y", "z")).groupBy("frame").agg(F.sum("x").alias("total")))
 
 
-@query("F14_sanitise", f"WITH {TRACKS_SQL} SELECT gid, frame, {r('CASE WHEN active THEN x ELSE 0 END', 'x')}, {r('CASE WHEN active THEN qw ELSE 1 END', 'qw')} FROM t WHERE frame < 4")
+@query("F14_sanitise", f"WITH {TRACKS_SQL} SELECT gid, frame, {r('CASE WHEN active THEN x ELSE 0 END', 'x')}, {r('CASE WHEN active THEN qw ELSE 1 END', 'qw')} FROM t")
 def _(spark, d):
-    return tidy(filters.sanitised(tracks(spark, d), ("x", "qw")).where("frame < 4").select("gid", "frame", "x", "qw"))
+    return tidy(filters.sanitised(tracks(spark, d), ("x", "qw")).select("gid", "frame", "x", "qw"))
 
 
 @query("F15_lifetime_prune", f"WITH {EVENTS_SQL} SELECT CAST(y AS BIGINT) AS owner, count(*) AS n FROM v WHERE y IN (SELECT y FROM v WHERE active) GROUP BY y")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bits, spaces
-from ..operators import edit, layers, sequences, timeline
+from ..operators import edit, layers, matching, sequences, timeline
 from .registry import query, r, tidy
 from .scalar_queries import _N, _Q8, _Q16, morton_sql, slerp_sql
 from .views import CHUNKS_SQL, EVENTS_SQL, LINES_SQL, SPLATS_SQL, TRACKS_SQL, chunks, event_splats, line_splats, splats, table, tracks
@@ -74,12 +74,11 @@ def _(spark, d):
     return tidy(timeline.integer_keyframes(table(spark, d, "events").select("event_id", F.col("value").alias("t"))).drop("t"))
 
 
-@query("J9_leftover_fill", "WITH f AS (SELECT c_custkey AS slot, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 3 = 0), u AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 50 = 7) SELECT slot, row_id FROM f JOIN u USING (n)")
+@query("J9_leftover_fill", "WITH f AS (SELECT c_custkey AS slot, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), u AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) SELECT slot, row_id FROM f JOIN u USING (n)")
 def _(spark, d):
-    """The i-th free slot takes the i-th row left over; both are small leftovers of a matching."""
-    number = lambda df, c: df.withColumn("n", F.row_number().over(W.orderBy(c)))
-    free = number(table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("slot")), "slot")
-    left = number(table(spark, d, "orders").where("o_custkey % 50 = 7").select(F.col("o_orderkey").alias("row_id")), "row_id")
+    """The i-th free slot takes the i-th row left over, over whole tables: ranks are taken inside ranges of the order."""
+    free = matching.globally_ranked(table(spark, d, "customer").select(F.col("c_custkey").alias("slot")), ["slot"], "n")
+    left = matching.globally_ranked(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id")), ["row_id"], "n")
     return free.join(left, "n").select("slot", "row_id")
 
 
@@ -321,10 +320,10 @@ def _(spark, d):
     return tidy(out.select("gid", "part", F.size("shn").alias("size"), F.element_at("shn", 30).alias("late")))
 
 
-@query("U3_concatenate", f"WITH {TRACKS_SQL} SELECT frame, count(*) AS n FROM t WHERE frame < 3 GROUP BY frame")
+@query("U3_concatenate", f"WITH {TRACKS_SQL} SELECT frame, count(*) AS n FROM t GROUP BY frame")
 def _(spark, d):
     t = tracks(spark, d)
-    return layers.concatenated([t.where(F.col("frame") == i) for i in range(3)]).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    return layers.concatenated([t.where(F.col("frame") == i) for i in range(12)]).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S9_frame_at_time", f"WITH {SPLATS_SQL} SELECT gid, frame FROM s WHERE frame = CAST(round_even(0.55 * 9, 0) AS INTEGER)")

@@ -7,16 +7,19 @@ executors. Frames are numbered by the natural order of the paths.
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import bits
+from ..operators.matching import globally_ranked
 
 #: Property names of the format, and the columns they become.
 PROPERTIES = {
@@ -92,10 +95,23 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("frame", "content").mapInArrow(run, f"frame int, {SPLAT}")
 
 
+def layouts(files: DataFrame) -> DataFrame:
+    """(frame, n, properties) of files (frame, content), from the first 4,096 bytes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [header(x) for x in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array([n for _, n, _ in found], pa.int64()), pa.array([len(kind.names) for kind, _, _ in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["frame", "n", "properties"])
+
+    return files.select("frame", F.substring("content", 1, 4096).alias("head")).mapInArrow(run, "frame int, n bigint, properties bigint")
+
+
 def discover(spark: SparkSession, path: str, pattern: str = "*.ply") -> DataFrame:
     """(frame, path, length) in the natural order of the paths. Only the listing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
-    return files.withColumn("frame", F.row_number().over(W.orderBy(bits.natural_key(F.col("path")), "path")) - 1)
+    ranked = globally_ranked(files.withColumn("key", bits.natural_key(F.col("path"))), ["key", "path"], "frame").drop("key")
+    return ranked.withColumn("frame", F.col("frame").cast("int"))
 
 
 def read(spark: SparkSession, path: str, pattern: str = "*.ply") -> DataFrame:
@@ -121,8 +137,9 @@ def rendered(splats: DataFrame) -> DataFrame:
 
 
 class FileSink(DataSource):
-    """Sink "splat_files": rows (name, content) become files in a folder that all executors share. A file that is there already
-    raises: nothing is overwritten; each file appears whole or not at all."""
+    """Sink "splat_files": rows (name, content) become files in a folder that driver and executors share. Tasks write parts under names of their
+    own, so one that is tried again, or twice at once, meets none of its own files; the driver publishes the parts of the
+    tasks that count. A file that is there already raises: nothing is overwritten; each file appears whole or not at all."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,22 +149,41 @@ class FileSink(DataSource):
         return FileWriter(self.options["path"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's folder of parts, and (part, target) of each file."""
+
+    staging: str
+    parts: list[tuple[str, str]]
+
+
 class FileWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path
 
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        parts: list[tuple[str, str]] = []
+        staging = os.path.join(self.path, f"_staging-{uuid.uuid4().hex}")
+        os.makedirs(staging)
         for row in rows:
-            target = os.path.join(self.path, row["name"])
-            part = f"{target}.{os.getpid()}.part"
+            part = os.path.join(staging, f"{len(parts)}.part")
             with open(part, "xb") as f:
                 f.write(row["content"])
-            try:
+            parts.append((part, os.path.join(self.path, row["name"])))
+        return Written(staging, parts)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        done = [m for m in messages if m]
+        try:
+            for part, target in (x for m in done for x in m.parts):
                 os.link(part, target)  # fails where the target is there
-            finally:
-                os.unlink(part)
-        return WriterCommitMessage()
+        finally:
+            self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m:
+                shutil.rmtree(m.staging, ignore_errors=True)
 
 
 def write(splats: DataFrame, path: str, name: str = "frame_%05d.ply") -> None:

@@ -5,7 +5,6 @@ State is bounded per key; windows have watermarks. The window operators extend t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.matching import own_folder
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -137,7 +138,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """All rows of a bounded stream, run to its end. Batches are written as Parquet in the shared folder: of ``complete`` mode
     the last one counts, of ``append`` mode all."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or own_folder(spark)
     path = f"{shared}/stream-{uuid.uuid4().hex}"
     seen: list[int] = []
 
