@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Candidates are found by one pattern and validated by kind: card numbers by their check digit, US social security
+Candidates are found by one pattern and validated by kind: card numbers by their check digit (of a longer run of digit groups, the part that has one), US social security
 numbers by the ranges in use, IPv4 addresses by their octets, dates by the calendar, telephone numbers by
 their form. The value is a number of a finite domain and goes through a keyed Feistel network:
 
@@ -11,7 +11,7 @@ in all documents and different values different ones. Where only a part of the d
 permutation is applied again until the value is valid (cycle walking), which is a permutation of the
 valid values. The pseudonym is put back digit by digit: separators, length and a card's check digit fit.
 
-E-mail addresses and credentials have no number to permute; they get a keyed digest, which links equal values as well.
+E-mail and IPv6 addresses, credentials and tokens have no small number to permute; they get a keyed digest, which links equal values as well.
 """
 
 from __future__ import annotations
@@ -21,19 +21,23 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Cycle walking: the share of valid values is over two thirds in each domain, so so many steps without one are
-#: less likely than 1e-30; such a value would be masked.
+#: less likely than 1e-30; such a value is masked.
 WALK = 64
 
 NUMBER_EDGE, NUMBER_END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
+MONTHS = [f"{x[:3]}(?:{x[3:]})?" for x in "January February March April May June July August September October November December".split()]
 #: One of these, in this order, at each place.
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\\.[A-Za-z0-9-]{1,63}+){1,8}+",
     "secret": "(?<![A-Za-z0-9_])(?i:(?:api|access|secret|auth|private)[_-]?(?:key|token|secret)|password|passwd|token)[\\t ]{0,3}[=:][\\t ]{0,3}[\"']?[A-Za-z0-9_/+.=-]{7,}[A-Za-z0-9_/+=-][\"']?",
+    "token": "(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{16,}|(?i:bearer) [A-Za-z0-9._~+/=-]{15,}[A-Za-z0-9_~+/=-])",
+    "ipv6": "(?<![0-9A-Za-z:.])(?=[0-9a-fA-F:]*[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ipv4": "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?!\\.?[0-9A-Za-z])",
-    "date": NUMBER_EDGE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + NUMBER_END,
+    "date": NUMBER_EDGE + "[0-9]{4}-[0-9]{2}-[0-9]{2}(?:" + NUMBER_END + "|(?=T[0-9]{2}:))|(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z/])|" + NUMBER_EDGE + "(?:" + "|".join(MONTHS) + ") [0-9]{1,2}, [0-9]{4}" + NUMBER_END,
     "ssn": NUMBER_EDGE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + NUMBER_END,
-    "phone": "(?<![0-9A-Za-z+])(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}" + NUMBER_END + "|(?<![0-9A-Za-z+])\\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}" + NUMBER_END,
-    "card": NUMBER_EDGE + "[0-9](?:[ -]?[0-9]){12,18}" + NUMBER_END,
+    "phone": "(?<![0-9A-Za-z+])(?:(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|\\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\\+[0-9]{11,14})" + NUMBER_END
+    + "|(?<![0-9A-Za-z+.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\\.[0-9]{3}\\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
+    "card": NUMBER_EDGE + "[0-9](?:[ -]?[0-9]){12,}+" + NUMBER_END,
 }
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -41,20 +45,23 @@ KINDS = tuple(PATTERNS)
 FIRST_DAY, DAYS, DAY_SIDE = "1900-01-01", 73049, 271  # to 2099-12-31; 271 * 271 >= 73049
 
 
-def _digest_number(key: str, kind: str, *parts: Column) -> Column:
+Key = str | Column
+
+
+def _digest_number(key: Key, kind: str, *parts: Column) -> Column:
     """60 bits of a keyed digest."""
     text = F.concat_ws("|", F.lit(key), F.lit(kind), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(value: Column, left_size: int, right_size: int, key: str, kind: str) -> Column:
+def feistel(value: Column, left_size: int, right_size: int, key: Key, kind: str) -> Column:
     """A keyed permutation of 0 .. left_size * right_size - 1; both sizes change places every round, so ROUNDS is even."""
     start = F.struct(F.floor(value / right_size).cast("bigint").alias("a"), F.pmod(value, F.lit(right_size)).cast("bigint").alias("b"))
     end = feistel_pair(start, left_size, right_size, key, kind)
     return end["a"] * right_size + end["b"]
 
 
-def feistel_pair(start: Column, left_size: int, right_size: int, key: str, kind: str) -> Column:
+def feistel_pair(start: Column, left_size: int, right_size: int, key: Key, kind: str) -> Column:
     """As feistel(), of a struct (a, b) with a under left_size and b under right_size."""
 
     def step(s: Column, i: Column) -> Column:
@@ -65,7 +72,7 @@ def feistel_pair(start: Column, left_size: int, right_size: int, key: str, kind:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def _walk(value: Column, left: int, right: int, key: str, kind: str, valid) -> Column:
+def _walk(value: Column, left: int, right: int, key: Key, kind: str, valid) -> Column:
     """The first valid value of permuting again and again; null if there is none in WALK steps."""
     start = F.struct(value.cast("bigint").alias("v"), F.lit(False).alias("done"))
 
@@ -107,7 +114,7 @@ def is_card(digits: Column) -> Column:
     return (check_digit(payload) == F.substring(digits, n, F.lit(1)).cast("int")) & ~digits.rlike("^(.)\\1*$")
 
 
-def _card(x: Column, key: str) -> Column:
+def _whole_card(x: Column, key: Key) -> Column:
     """Payload halves of fixed size by length; the check digit is made anew."""
     digits = _digits(x)
 
@@ -121,10 +128,37 @@ def _card(x: Column, key: str) -> Column:
     new = F.when(F.char_length(digits) == 13, of(13))
     for n in range(14, 20):
         new = new.when(F.char_length(digits) == n, of(n))
-    return F.when(is_card(digits), _fill(x, new))
+    return _fill(x, new)
+
+
+def _runs(x: Column) -> Column:
+    """(rank, at, part): the runs of whole groups of digits in ``x`` that are cards, the longest and then the first at the head."""
+    groups = F.split(x, "[ -]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.aggregate(F.slice(groups, F.lit(1), n), n - 1, lambda s, g: s + F.char_length(g)))
+    run = lambda i, j: (F.element_at(ends, i) - F.char_length(F.element_at(groups, i)) + 1, F.element_at(ends, j))
+
+    def part(i: Column, j: Column) -> Column:
+        at, to = run(i, j)
+        return F.struct((at - to).alias("rank"), at.alias("at"), F.substring(x, at, to - at + 1).alias("part"))
+
+    n = F.size(groups)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + 18)), lambda j: part(i, j))))
+    fits = F.filter(every, lambda r: F.char_length(_digits(r["part"])).between(13, 19))
+    return F.array_sort(F.filter(fits, lambda r: is_card(_digits(r["part"]))))
+
+
+def _card(x: Column, key: Key) -> Column:
+    """The longest run of groups of digits that is a valid card number; what stands beside it (a code, another number) stays."""
+    head = F.element_at(_runs(x), 1)
+    found = F.transform(F.array(F.when(F.size(_runs(x)) > 0, head)), lambda r: F.concat(F.substring(x, F.lit(1), r["at"] - 1), _whole_card(r["part"], key), F.substring(x, r["at"] + F.char_length(r["part"]), F.char_length(x))))
+    return F.element_at(found, 1)
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _masked(x: Column) -> Column:
+    return F.regexp_replace(x, "[0-9]", "*")
+
+
+def _ssn(x: Column, key: Key) -> Column:
     value = lambda d: d.cast("bigint")
 
     def valid(v: Column) -> Column:
@@ -133,10 +167,10 @@ def _ssn(x: Column, key: str) -> Column:
 
     v = value(_digits(x))
     new = _walk(v, 30_000, 33_334, key, "ssn", lambda y: valid(y) & (y < 1_000_000_000))
-    return F.when(valid(v), _fill(x, F.lpad(new.cast("string"), 9, "0")))
+    return F.when(valid(v), F.coalesce(_fill(x, F.lpad(new.cast("string"), 9, "0")), _masked(x)))
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: Key) -> Column:
     """The last ten digits; the country code stays."""
     digits = _digits(x)
     n = F.char_length(digits)
@@ -144,7 +178,7 @@ def _phone(x: Column, key: str) -> Column:
     return _fill(x, F.concat(F.substring(digits, F.lit(1), n - 10), F.lpad(new.cast("string"), 10, "0")))
 
 
-def _ipv4(x: Column, key: str) -> Column:
+def _ipv4(x: Column, key: Key) -> Column:
     octets = F.transform(F.split(x, "\\."), lambda o: o.cast("bigint"))
     value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda s, o: s * 256 + o)
     new = feistel(value, 65_536, 65_536, key, "ipv4")
@@ -152,36 +186,63 @@ def _ipv4(x: Column, key: str) -> Column:
     return F.when(~F.exists(octets, lambda o: o > 255), F.concat_ws(".", *[p.cast("string") for p in parts]))
 
 
-def _date(x: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    new = _walk(day, DAY_SIDE, DAY_SIDE, key, "date", lambda v: v < DAYS)
-    return F.when((day >= 0) & (day < DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), "yyyy-MM-dd"))
+def _date(x: Column, key: Key) -> Column:
+    """ISO dates, numbers with strokes (month first, unless the first one is over 12) and English month names; a day has one pseudonym in all forms."""
+    first = F.substring_index(x, "/", 1).try_cast("int")
+    wide = x.rlike("^[0-9]{2}/[0-9]{2}/")
+    forms = {
+        "yyyy-MM-dd": x.rlike("^[0-9]{4}-"), "dd/MM/yyyy": wide & (first > 12), "MM/dd/yyyy": wide, "d/M/yyyy": x.contains("/") & (first > 12), "M/d/yyyy": x.contains("/"),
+        "MMM d, yyyy": x.rlike("^[A-Za-z]{3} "), "MMMM d, yyyy": F.lit(True),
+    }
+    base = F.lit(FIRST_DAY).cast("date")
+    read = F.coalesce(*[F.when(is_, F.struct(F.lit(i).alias("form"), F.try_to_timestamp(x, F.lit(form)).cast("date").alias("day"))) for i, (form, is_) in enumerate(forms.items())])
+    day = F.datediff(read["day"], base)
+    new = F.date_add(base, _walk(day, DAY_SIDE, DAY_SIDE, key, "date", lambda v: v < DAYS).cast("int"))
+    told = F.coalesce(*[F.when(read["form"] == i, F.date_format(new, form)) for i, form in enumerate(forms)])
+    return F.when((day >= 0) & (day < DAYS), F.coalesce(told, _masked(x)))
+
+
+def _digest(key: Key, kind: str, x: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), x), 256)
+
+
+def _token(x: Column, key: Key) -> Column:
+    """The mark before it stays."""
+    mark = F.regexp_extract(x, "^(AKIA|ASIA|gh[pousr]_|(?i:bearer) )", 1)
+    new = _digest(key, "token", F.substring(x, F.char_length(mark) + 1, F.char_length(x)))
+    return F.concat(mark, F.when(mark.isin("AKIA", "ASIA"), F.upper(F.substring(new, 1, 16))).otherwise(F.substring(new, 1, 32)))
+
+
+def _ipv6(x: Column, key: Key) -> Column:
+    """An address of the private range fd00::/8."""
+    new = _digest(key, "ipv6", F.lower(x))
+    return F.concat(F.lit("fd"), F.substring(new, 1, 2), *[F.concat(F.lit(":"), F.substring(new, 4 * i - 1, 4)) for i in range(1, 8)])
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: Key) -> Column:
     return F.concat(F.lit("p"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)), 256), 1, 16), F.lit("@mail.invalid"))
 
 
-def _secret(x: Column, key: str) -> Column:
+def _secret(x: Column, key: Key) -> Column:
     """The name and the marks stay, the value becomes a digest."""
     value = F.regexp_extract(x, "[=:][\\t ]{0,3}[\"']?([A-Za-z0-9_/+.=-]*)", 1)
     name = F.regexp_extract(x, "^([^=:]*[=:][\\t ]{0,3}[\"']?)", 1)
     return F.concat(name, F.lit("s"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), 1, 24), F.regexp_extract(x, "([\"']?)$", 1))
 
 
-_MAKERS = {"email": _email, "secret": _secret, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "secret": _secret, "token": _token, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _kind(x: Column) -> Column:
     """The first pattern that the whole match fits, edges left out."""
-    bare = {k: p.replace("(?<![0-9A-Za-z])", "").replace("(?<![0-9A-Za-z.])", "").replace("(?![0-9A-Za-z])", "").replace("(?!\\.?[0-9A-Za-z])", "").replace("(?<![0-9A-Za-z+])", "").replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9_])", "") for k, p in PATTERNS.items()}
+    bare = PATTERNS  # what must not stand beside a match doesn't stand there
     found = F.when(x.rlike(f"^(?:{bare[KINDS[0]]})$"), KINDS[0])
     for k in KINDS[1:]:
         found = found.when(x.rlike(f"^(?:{bare[k]})$"), k)
     return found
 
 
-def pseudonym(x: Column, kind: Column, key: str) -> Column:
+def pseudonym(x: Column, kind: Column, key: Key) -> Column:
     """What stands for a match; null if it isn't valid."""
     found = F.when(kind == KINDS[0], _MAKERS[KINDS[0]](x, key))
     for k in KINDS[1:]:
@@ -189,14 +250,18 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     return found
 
 
-def pseudonymised(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_found, kinds and found (kind, pseudonym) of every row of ``docs``.
 
-    A null text stays null with nothing found; an empty one stays empty. Repeated rows give equal rows, an empty table an
+    ``key`` is the secret, or a table of one row and column that holds it, so that it stands in no plan. A null text stays null with nothing found; an
+    empty one stays empty; a very long one is read whole. Repeated rows give equal rows, an empty table an
     empty one; other columns are not read. No shuffle: the work is a projection.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    may = F.col("text").rlike("[0-9@]|(?i:password|passwd|token|secret|key)")
+    if isinstance(key, DataFrame):  # one row
+        rows = rows.crossJoin(F.broadcast(key.toDF("secret_key").limit(1)))
+        key = F.col("secret_key")
+    may = F.col("text").rlike("[0-9@]|(?i:password|passwd|token|secret|key|bearer)|gh[pousr]_|A[KS]IA")
     rows = rows.withColumn("matches", F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     kinds = F.transform("matches", lambda m: F.struct(m.alias("match"), _kind(m).alias("kind")))
     rows = rows.withColumn("typed", kinds)
