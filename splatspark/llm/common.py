@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.matching import checkpointed  # noqa: F401  lineage cuts in the shared folder
+
 #: Bytes of a text are handled in slices of about this size, so that a worker's memory
 #: doesn't depend on how many rows Spark puts in an Arrow batch.
 SLICE_BYTES = 2 << 20
@@ -86,14 +87,3 @@ def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
         counts[blank] = 0
     found = flat.dictionary_encode()
     return found.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), counts
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the shared folder named by spark.checkpoint.dir.
-
-    A folder of its own is made only where neither the setting nor the context names one (tests).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
