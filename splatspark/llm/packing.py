@@ -43,7 +43,7 @@ SENTENCE_PENALTY = 4
 WORD_PENALTY = 24
 STRIDE = 32
 BLOCK_TOKENS = 1 << 18
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 _encoders: dict[str, "Encoder"] = {}
 
