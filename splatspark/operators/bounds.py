@@ -1,7 +1,8 @@
 """Aggregates over splats: bounds, ranges, reports, corrections.
 
 All are one partial aggregate, or two where the second needs the first's row; that row is broadcast (a single row).
-Exact percentiles hold the values of a group; ``accuracy`` replaces them by sketches of bounded size for large groups.
+Percentiles of whole tables are exact in bounded memory (quantiles.exact, which runs at once); those of a frame hold its values, whose number
+the format bounds. ``accuracy`` takes sketches instead.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spaces as v
+from . import quantiles
 
 AXES = ("x", "y", "z")
 
@@ -18,9 +20,22 @@ def quantile(column, p: float, accuracy: int | None = None) -> Column:
     return F.percentile(column, p) if accuracy is None else F.percentile_approx(column, p, accuracy).cast("double")
 
 
+def overall(rows: DataFrame, columns: dict[str, Column], wanted: tuple[float, ...], accuracy: int | None = None) -> DataFrame:
+    """(channel, quantiles): of whole columns, one row each."""
+    if accuracy is None:
+        found = list(quantiles.exact(rows, columns, wanted).items())
+        return rows.sparkSession.createDataFrame(found, "channel string, quantiles array<double>")
+    sketch = rows.agg(*[F.percentile_approx(c.cast("double"), list(wanted), accuracy).alias(n) for n, c in columns.items()])
+    return sketch.select(F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), F.col(n).alias("quantiles")) for n in columns])).alias("v")).select("v.*")
+
+
 def scene_bounds(splats: DataFrame, low: float = 0.05, high: float = 0.95, pad: float = 0.1, accuracy: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Percentile box, padded on both sides by a share of its size, with centre and size."""
-    rows = splats.groupBy(*by).agg(*[quantile(a, p, accuracy).alias(f"{n}{a}") for a in AXES for n, p in (("l", low), ("h", high))])
+    if by:
+        rows = splats.groupBy(*by).agg(*[quantile(a, p, accuracy).alias(f"{n}{a}") for a in AXES for n, p in (("l", low), ("h", high))])
+    else:
+        ends = overall(splats, {a: F.col(a) for a in AXES}, (low, high), accuracy)
+        rows = ends.agg(*[F.max(F.when(F.col("channel") == a, F.col("quantiles")[i])).alias(f"{n}{a}") for a in AXES for i, n in enumerate("lh")])
     out = [F.col(c) for c in by]
     for a in AXES:
         size = F.col(f"h{a}") - F.col(f"l{a}")
@@ -34,7 +49,8 @@ def bounding_sphere(splats: DataFrame, p: float = 0.95, margin: float = 1.1, acc
     centre = splats.agg(*[F.avg(a).alias(f"centre_{a}") for a in AXES])
     away = F.sqrt(sum(((F.col(a) - F.col(f"centre_{a}")) * (F.col(a) - F.col(f"centre_{a}")) for a in AXES[1:]), (F.col("x") - F.col("centre_x")) * (F.col("x") - F.col("centre_x"))))
     rows = splats.crossJoin(F.broadcast(centre)).withColumn("away", away)
-    return rows.agg(*[F.first(f"centre_{a}").alias(f"centre_{a}") for a in AXES], (quantile("away", p, accuracy) * margin).alias("radius"))
+    radius = overall(rows, {"away": F.col("away")}, (p,), accuracy).select((F.col("quantiles")[0] * margin).alias("radius"))
+    return centre.crossJoin(F.broadcast(radius))
 
 
 def layer_bounds(splats: DataFrame, *by: str) -> DataFrame:
@@ -89,11 +105,10 @@ def auto_step(splats: DataFrame, frames: int = 5) -> DataFrame:
 def distribution(rows: DataFrame, columns: tuple[str, ...], percentiles: tuple[float, ...] = (0.01, 0.5, 0.99), accuracy: int | None = None) -> DataFrame:
     """One row per column: least, greatest, mean, deviation, percentiles, and share of the range outside the 0.1 and 99.9 percentiles."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select("v.*")
-    found = long.groupBy("channel").agg(
-        F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"),
-        *[quantile("value", p, accuracy).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles],
-        quantile("value", 0.001, accuracy).alias("_low"), quantile("value", 0.999, accuracy).alias("_high"),
-    )
+    shape = long.groupBy("channel").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    names = [f"p{p * 100:g}".replace(".", "_") for p in percentiles] + ["_low", "_high"]
+    ends = overall(rows, {c: F.col(c) for c in columns}, (*percentiles, 0.001, 0.999), accuracy)
+    found = shape.join(F.broadcast(ends), "channel").select(*shape.columns, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)])
     waste = 1 - F.try_divide(F.col("_high") - F.col("_low"), F.col("most") - F.col("least"))
     return found.withColumn("waste", F.coalesce(waste, F.lit(0.0))).drop("_low", "_high")
 
@@ -121,8 +136,9 @@ def auto_exposure(rows: DataFrame) -> DataFrame:
 
 
 def auto_contrast(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
-    spread = quantile("value", 0.999, accuracy) - quantile("value", 0.001, accuracy)
-    return _long(rows).agg(v.clamp(0.9 / (spread + 1e-6), 0.5, 3.0).alias("contrast"))
+    ends = overall(_long(rows), {"value": F.col("value")}, (0.001, 0.999), accuracy)
+    spread = F.col("quantiles")[1] - F.col("quantiles")[0]
+    return ends.select(v.clamp(0.9 / (spread + 1e-6), 0.5, 3.0).alias("contrast"))
 
 
 def white_balance(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import quantiles
+from .matching import checkpointed
 
 INF = math.inf
 POSITION = ("x", "y", "z")
@@ -210,12 +212,13 @@ def ever_active(splats: DataFrame) -> DataFrame:
 def pruned(splats: DataFrame, min_opacity: float = 0.10, min_scale: float = 1e-3, quantile: float = 0.005) -> DataFrame:
     """Without splats whose greatest opacity, scale or importance over their lifetime is small.
 
-    Importance is opacity times volume. Its quantile is exact; it is one row.
+    Importance is opacity times volume. Its quantile is exact and a number by the time the plan is made.
     """
     alpha = 1 / (1 + F.exp(-F.col("opacity")))
     life = splats.where("active").groupBy("gid").agg(
         F.max(alpha).alias("alpha"), F.max(F.exp(F.greatest("s0", "s1", "s2"))).alias("scale"), F.max(F.exp(F.col("s0") + F.col("s1") + F.col("s2"))).alias("volume")
     ).withColumn("importance", F.col("alpha") * F.col("volume"))
-    cut = life.agg(F.percentile("importance", quantile).alias("cut"))
-    keep = life.crossJoin(F.broadcast(cut)).where((F.col("alpha") >= min_opacity) & (F.col("scale") >= min_scale) & (F.col("importance") >= F.col("cut")))
+    life = checkpointed(life)
+    (cut,) = quantiles.exact(life, {"importance": F.col("importance")}, (quantile,))["importance"]
+    keep = life.where((F.col("alpha") >= min_opacity) & (F.col("scale") >= min_scale) & (F.col("importance") >= F.lit(cut)))
     return splats.join(keep.select("gid"), "gid", "left_semi")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sequences
+from . import bounds, sequences
 
 CODES = 256
 MAX_CENTROIDS = 65_535
@@ -37,7 +37,8 @@ def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
 
     ``values`` has id and value. Ranks come from buckets of values, so no task sees all of them.
     """
-    s = values.agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
+    quarters = bounds.overall(values, {"value": F.col("value")}, (0.25, 0.75)).select(*[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "q3"))])
+    s = values.agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi")).crossJoin(F.broadcast(quarters))
     extent = F.col("hi") - F.col("lo")
     beta = F.greatest(F.lit(0.5), F.least(F.lit(0.999), 1 - F.coalesce(F.try_divide(F.col("q3") - F.col("q1"), extent), F.lit(0.0))))
     rows = values.crossJoin(F.broadcast(s.withColumn("beta", beta)))

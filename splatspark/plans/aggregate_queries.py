@@ -166,8 +166,10 @@ def _(spark, d):
 def _(spark, d):
     kind = F.when(F.col("opacity") >= -3, "visible").otherwise("invisible")
     e = splats(spark, d).select(kind.alias("kind"), F.abs(F.col("c0") - F.rint(F.col("c0") * 8) / 8).alias("e"))
-    rows = e.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.percentile("e", 0.5).alias("p50"), F.percentile("e", 0.99).alias("p99"), (100.0 * F.count_if(F.col("e") > 0.05) / F.count(F.lit(1))).alias("over"))
-    return tidy(rows.withColumn("kind", F.coalesce("kind", F.lit("all"))))
+    rows = e.rollup("kind").agg(F.count(F.lit(1)).alias("n"), (100.0 * F.count_if(F.col("e") > 0.05) / F.count(F.lit(1))).alias("over")).withColumn("kind", F.coalesce("kind", F.lit("all")))
+    ends = bounds.overall(e, {k: F.when(F.lit(k == "all") | (F.col("kind") == k), F.col("e")) for k in ("visible", "invisible", "all")}, (0.5, 0.99))
+    ends = ends.select(F.col("channel").alias("kind"), *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p50", "p99"))])
+    return tidy(rows.join(F.broadcast(ends), "kind").select("kind", "n", "p50", "p99", "over"))
 
 
 @query("A26_entropy", f"WITH {LINES_SQL}, c AS (SELECT frame, CAST(floor(y * 100) AS BIGINT) % 256 AS b, count(*) AS n FROM l GROUP BY 1, 2), t AS (SELECT frame, b, n, sum(n) OVER (PARTITION BY frame) AS total FROM c) SELECT frame, {r('-sum(n / total * log2(n / total))', 'bits')}, count(*) AS \"values\" FROM t GROUP BY frame")
