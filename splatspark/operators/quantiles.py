@@ -49,30 +49,51 @@ def exact(rows: DataFrame, columns: dict[str, Column], wanted: tuple[float, ...]
     place = {(n, p): p * (count[n] - 1) for n in names for p in wanted if count[n]}
     ranks = {(n, k): _Rank(n, k, count[n]) for (n, _), h in place.items() for k in {math.floor(h), math.ceil(h)}}
     while left := [x for x in ranks.values() if x.found is None]:
-        small = [x for x in left if x.inside <= GATHER]
-        if small:
-            got = base.agg(*[F.element_at(F.sort_array(F.collect_list(x.window(at[x.name]))), x.k - x.below + 1) for x in small]).first()
-            for x, value in zip(small, got):
-                x.found = value
-        large = [x for x in left if x.inside > GATHER]
-        if large:
+        if small := _shared([x for x in left if x.inside <= GATHER]):
+            got = base.agg(*[_picked(at, same) for same in small]).first()
+            for same, values in zip(small, got):
+                for x, value in zip(same, values):
+                    x.found = value
+        if large := _shared([x for x in left if x.inside > GATHER]):
             _narrow(base, at, large)
     value = lambda n, k: ranks[n, k].found
     return {n: [_between(value(n, math.floor(h)), value(n, math.ceil(h)), h) if (h := place.get((n, p))) is not None else None for p in wanted] for n in names}
 
 
-def _narrow(base: DataFrame, at: dict[str, Column], ranks: list[_Rank]) -> None:
-    share = lambda x, side: min(1.0, max(0.0, (x.k - x.below + 0.5) / x.inside + side * x.slack))
-    ends = base.agg(*[F.percentile_approx(x.window(at[x.name]), [share(x, -1), share(x, 1)], ACCURACY) for x in ranks]).first()
-    tests = [t for x, (a, b) in zip(ranks, ends) for c in [at[x.name]] for t in (c < F.lit(a), c <= F.lit(a), c < F.lit(b), c <= F.lit(b))]
-    counts = base.agg(*[F.count_if(t) for t in tests]).first()
-    for i, (x, (a, b)) in enumerate(zip(ranks, ends)):
-        before_a, to_a, before_b, to_b = counts[4 * i : 4 * i + 4]
-        if before_a <= x.k < to_a:
+def _shared(ranks: list[_Rank]) -> list[list[_Rank]]:
+    """Ranks by their window: each window is gathered, or has its sketch, once."""
+    found: dict[tuple, list[_Rank]] = {}
+    for x in ranks:
+        found.setdefault((x.name, x.low, x.high), []).append(x)
+    return list(found.values())
+
+
+def _picked(at: dict[str, Column], same: list[_Rank]) -> Column:
+    values = F.sort_array(F.collect_list(same[0].window(at[same[0].name])))
+    return F.transform(F.array(*[F.lit(x.k - x.below + 1) for x in same]), lambda i: F.element_at(values, i))
+
+
+def _ends(x: _Rank) -> tuple[float, float]:
+    """Shares of a window round the rank, on a grid finer than a sketch, so that neighbouring ranks mostly have the same."""
+    grid, share = 4 * ACCURACY, (x.k - x.below + 0.5) / x.inside
+    return max(0.0, math.floor((share - x.slack) * grid) / grid), min(1.0, math.ceil((share + x.slack) * grid) / grid)
+
+
+def _narrow(base: DataFrame, at: dict[str, Column], windows: list[list[_Rank]]) -> None:
+    shares = [[e for x in same for e in _ends(x)] for same in windows]
+    sketches = base.agg(*[F.percentile_approx(same[0].window(at[same[0].name]), e, ACCURACY) for same, e in zip(windows, shares)]).first()
+    ends = [(x, found[2 * i], found[2 * i + 1]) for same, found in zip(windows, sketches) for i, x in enumerate(same)]
+    edges = list({(x.name, e) for x, a, b in ends for e in (a, b)})
+    counts = base.agg(*[F.count_if(t) for n, e in edges for t in (at[n] < F.lit(e), at[n] <= F.lit(e))]).first()
+    before = {k: counts[2 * i] for i, k in enumerate(edges)}
+    upto = {k: counts[2 * i + 1] for i, k in enumerate(edges)}
+    for x, a, b in ends:
+        low, high = (x.name, a), (x.name, b)
+        if before[low] <= x.k < upto[low]:
             x.found = a
-        elif to_a <= x.k < before_b:
-            x.low, x.high, x.below, x.inside, x.slack = a, b, to_a, before_b - to_a, 2.0 / ACCURACY
-        elif before_b <= x.k < to_b:
+        elif upto[low] <= x.k < before[high]:
+            x.low, x.high, x.below, x.inside, x.slack = a, b, upto[low], before[high] - upto[low], 2.0 / ACCURACY
+        elif before[high] <= x.k < upto[high]:
             x.found = b
         else:
             x.slack *= 8
