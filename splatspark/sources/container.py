@@ -1,7 +1,8 @@
 """The streaming container of encoded splat sequences: header, ranges and indices first, then payloads.
 
 Layouts are numpy record types, so one definition reads and writes. Files come as rows of binaryFile; sections are
-cut out on the executors. Video payloads are kept as bytes: decoding them needs a video codec.
+cut out on the executors. Video payloads are kept as bytes: decoding them needs a video codec. Byte planes in their place are
+read by operators.sequence_codec.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ HEADER = np.dtype(
     }
 )
 RANGES = np.dtype([(f"{n}_{end}", "<f4", (w,)) for n, w in (("means", 3), ("scales", 3), ("quats", 4), ("opacity", 1), ("sh0", 3)) for end in ("min", "max")])
+#: Columns of each field of the ranges.
+RANGE_NAMES = {"means": ("x", "y", "z"), "scales": ("s0", "s1", "s2"), "quats": ("qw", "qx", "qy", "qz"), "opacity": ("opacity",), "sh0": ("c0", "c1", "c2")}
 CHUNK = np.dtype([("start_frame", "<u4"), ("end_frame", "<u4"), ("offset", "<u4"), ("size", "<u4")])
 FRAME = np.dtype([("offset", "<u4"), ("size", "<u4")])
 STATIC_TRACK = np.dtype(
@@ -41,6 +44,8 @@ STATIC_TRACK = np.dtype(
     }
 )
 STATIC_CODEC = b"vp09.00.51.08"
+#: Our own codec: byte planes compressed without loss, for lack of a video codec.
+PLANES_CODEC = b"planes.zstd"
 KEY_FLAG, SIZE_MASK = 0x80000000, 0x7FFFFFFF
 LOW_COLUMNS, LOW_BASE, LOW_XOR, LOW_COUNT = 0x80000000, 0x40000000, 0x20000000, 0x1FFFFFFF
 AUDIO, DIRECTIONAL, MASKS, STATIC = 0x0001, 0x0002, 0x0010, 0x0020
@@ -139,6 +144,18 @@ def headers(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, codec string, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def range_rows(files: DataFrame) -> DataFrame:
+    """One row of ranges per file: min_ and max_ of each channel."""
+    names = [(f"{end}_{c}", f"{field}_{end}", i) for field, cs in RANGE_NAMES.items() for i, c in enumerate(cs) for end in ("min", "max")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [cut(c, RANGES, int(read_header(c)["ranges_offset"]))[0] for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([float(x[f][i]) for x in found], pa.float64()) for _, f, i in names]], names=["path", *[n for n, _, _ in names]])
+
+    return files.select("path", "content").mapInArrow(run, "path string, " + ", ".join(f"{n} double" for n, _, _ in names))
+
+
 def frame_index(files: DataFrame) -> DataFrame:
     """(path, frame, chunk_id, offset, size, is_key, from_byte, to_byte): where each frame's video lies in the file."""
     schema = "path string, frame int, chunk_id int, offset bigint, size bigint, is_key boolean, from_byte bigint, to_byte bigint"
@@ -176,6 +193,20 @@ def low_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def ivf_frames(data: bytes) -> list[tuple[int, bytes]]:
+    """(time stamp, payload) of the frames of an IVF stream. Raises where the stream ends inside a frame."""
+    if data[:4] != b"DKIF" or len(data) < 32:
+        raise ValueError("not an IVF stream")
+    at, out = int.from_bytes(data[6:8], "little"), []
+    while at < len(data):
+        size, stamp = int.from_bytes(data[at : at + 4], "little"), int.from_bytes(data[at + 4 : at + 12], "little")
+        if at + 12 + size > len(data):
+            raise ValueError("IVF stream: frame beyond the end")
+        out.append((stamp, data[at + 12 : at + 12 + size]))
+        at += 12 + size
+    return out
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Files (path, content) of a folder, on any file system that Spark reads."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content"))
