@@ -53,9 +53,11 @@ def transformed(splats: DataFrame, t: g.Transform, log_scales: bool = True) -> D
 
 @dataclass(frozen=True)
 class Colour:
-    """Display colour c' = M c + b, step by step: temperature and tint, brightness, contrast, saturation, hue, fade.
+    """Display colour, step by step: temperature and tint, exposure and brightness, contrast, then tone (shadows, highlights and their tints), then
+    saturation and vibrance, hue, fade. gamma is applied last and in RGB alone.
 
-    gamma is applied last and in RGB alone.
+    The steps before tone are one affine map, those behind it another. Tone scales a splat by its luminance after contrast, and the tints, which have no
+    luminance of their own, shift its colour. Vibrance is half a saturation.
     """
 
     temperature: float = 0.0
@@ -66,52 +68,98 @@ class Colour:
     hue: float = 0.0
     fade: float = 0.0
     gamma: float = 1.0
+    exposure: float = 0.0
+    vibrance: float = 1.0
+    shadows: float = 0.0
+    highlights: float = 0.0
+    shadow_tint_hue: float = 0.0
+    shadow_tint_sat: float = 0.0
+    highlight_tint_hue: float = 0.0
+    highlight_tint_sat: float = 0.0
+
+    @property
+    def toned(self) -> bool:
+        return any((self.shadows, self.highlights, self.shadow_tint_sat, self.highlight_tint_sat))
 
     @property
     def neutral(self) -> bool:
         return self == Colour()
 
-    def affine(self) -> tuple[g.Matrix, tuple[float, float, float]]:
+    def affine(self, part: slice = slice(None)) -> tuple[g.Matrix, tuple[float, float, float]]:
+        """The steps of BEFORE_TONE, of AFTER_TONE, or all as one map."""
         diagonal = lambda a, b, c: ((a, 0.0, 0.0), (0.0, b, 0.0), (0.0, 0.0, c))
-        s, k, h = self.saturation, self.contrast, math.radians(self.hue)
+        s, k, h = self.saturation * (1 + 0.5 * (self.vibrance - 1)), self.contrast, math.radians(self.hue)
         grey = tuple(tuple((1 - s) * w + (s if i == j else 0.0) for j, w in enumerate(LUMA)) for i in range(3))
         third, root = (1 - math.cos(h)) / 3, math.sin(h) / math.sqrt(3)
         # Turn about the grey axis.
         spin = tuple(tuple(third + (math.cos(h) if i == j else root if (j - i) % 3 == 2 else -root) for j in range(3)) for i in range(3))
         steps = (
             (diagonal(1 + 0.3 * self.temperature, 1 - 0.3 * self.tint, 1 - 0.3 * self.temperature), 0.0),
-            (diagonal(*[self.brightness] * 3), 0.0),
+            (diagonal(*[self.brightness * 2**self.exposure] * 3), 0.0),
             (diagonal(k, k, k), 0.5 * (1 - k)),
             (grey, 0.0),
             (spin, 0.0),
             (diagonal(*[1 - self.fade] * 3), 0.5 * self.fade),
         )
         matrix, offset = g.IDENTITY, (0.0, 0.0, 0.0)
-        for m, b in steps:
+        for m, b in steps[part]:
             offset = tuple(sum(x * y for x, y in zip(row, offset)) + b for row in m)
             matrix = g.matmul(m, matrix)
         return matrix, offset
 
     def then(self, other: "Colour") -> "Colour":
-        """Both settings as one: factors multiply, shifts add."""
-        factors = {"brightness", "contrast", "saturation", "gamma"}
-        return Colour(**{f.name: getattr(self, f.name) * getattr(other, f.name) if f.name in factors else getattr(self, f.name) + getattr(other, f.name) for f in fields(self)})
+        """Both settings as one: factors multiply, shifts add, and a tint of the other replaces that of this where it is set."""
+        factors = {"brightness", "contrast", "saturation", "vibrance", "gamma"}
+
+        def one(name: str) -> float:
+            a, b = getattr(self, name), getattr(other, name)
+            return a * b if name in factors else (b or a) if "_tint_" in name else a + b
+
+        return Colour(**{f.name: one(f.name) for f in fields(self)})
+
+
+BEFORE_TONE, AFTER_TONE = slice(0, 3), slice(3, None)
+
+
+def hue_shift(hue: float, strength: float) -> tuple[float, ...]:
+    """The colour of a hue (0 to 1 round the circle) less its own luminance, times a strength."""
+    rgb = [min(max(abs((hue * 6 + turn) % 6 - 3) - 1, 0.0), 1.0) for turn in (0, 4, 2)]
+    grey = sum(w * c for w, c in zip(LUMA, rgb))
+    return tuple(strength * (c - grey) for c in rgb)
+
+
+def tone(colour: Colour, rgb: list[Column]) -> tuple[Column, list[Column]]:
+    """Factor and shifts of a splat by the luminance of its display colour: dark ones take the shadows' settings, bright ones the highlights'."""
+    light = v.clamp(v.mix((LUMA,), rgb, (0.0,))[0], 0.0, 1.0)
+    dark = (1 - light) * (1 - light)
+    bright = light * light
+    low, high = hue_shift(colour.shadow_tint_hue, colour.shadow_tint_sat), hue_shift(colour.highlight_tint_hue, colour.highlight_tint_sat)
+    return 1 + colour.shadows * dark + colour.highlights * bright, [dark * a + bright * b for a, b in zip(low, high)]
 
 
 def coloured(splats: DataFrame, colour: Colour, rgb: bool = False) -> DataFrame:
-    """Degree-0 colour by the whole affine map of display colour, shn by its matrix. In RGB the result is clamped."""
+    """Degree-0 colour by the whole map of display colour, shn by its matrices and the splat's tone factor, but no shift. In RGB the result is clamped."""
     if colour.neutral:
         return splats
     matrix, offset = colour.affine()
     now = [F.col(c) if rgb else v.sh_to_rgb(F.col(c)) for c in COLOURS]
-    new = v.mix(matrix, now, offset)
+    factor = None
+    if colour.toned:
+        first = v.mix(colour.affine(BEFORE_TONE)[0], now, colour.affine(BEFORE_TONE)[1])
+        factor, shift = tone(colour, first)
+        after, behind = colour.affine(AFTER_TONE)
+        new = v.mix(after, [c * factor + s for c, s in zip(first, shift)], behind)
+    else:
+        new = v.mix(matrix, now, offset)
     if rgb:
         new = [v.clamp(c, 0.0, 1.0) for c in new]
         if colour.gamma != 1:
             new = [F.pow(c, F.lit(1 / colour.gamma)) for c in new]
     out = dict(zip(COLOURS, new if rgb else [v.rgb_to_sh(c) for c in new]))
     if "shn" in splats.columns:
-        out["shn"] = shn_mixed(F.col("shn"), matrix)
+        # Before the colours are replaced: inside a lambda their names would mean the new ones.
+        mixed = shn_mixed(F.col("shn"), matrix)
+        splats = splats.withColumn("shn", mixed if factor is None else F.transform(mixed, lambda x: x * factor))
     return splats.withColumns(out)
 
 
@@ -126,17 +174,17 @@ def shn_mixed(shn: Column, matrix: g.Matrix) -> Column:
     return F.transform(shn, lambda _, i: at(i, 0) * row(i, 0) + at(i, 1) * row(i, 1) + at(i, 2) * row(i, 2))
 
 
-#: Named looks; every look sets its factors and shifts on top of the neutral one.
+#: Named looks, each relative to the neutral one.
 PRESETS = {
-    "neutral": Colour(),
-    "warm": Colour(temperature=0.3),
-    "cool": Colour(temperature=-0.3),
-    "vivid": Colour(saturation=1.4, contrast=1.1),
-    "muted": Colour(saturation=0.6),
-    "faded": Colour(fade=0.3, contrast=0.9),
-    "bright": Colour(brightness=1.2),
-    "dark": Colour(brightness=0.7),
-    "grey": Colour(saturation=0.0),
+    "vibrant": Colour(saturation=1.3, vibrance=1.2, contrast=1.05),
+    "dramatic": Colour(contrast=1.3, shadows=-0.15, highlights=0.05, saturation=1.1),
+    "bright": Colour(brightness=1.2, gamma=0.9),
+    "dark": Colour(brightness=0.8, gamma=1.1),
+    "warm": Colour(temperature=0.3, tint=0.05, saturation=1.05),
+    "cool": Colour(temperature=-0.3, tint=-0.05, saturation=1.05),
+    "cinematic": Colour(contrast=1.15, saturation=0.9, fade=0.08, shadows=-0.1, highlights=-0.05, shadow_tint_hue=0.6, shadow_tint_sat=0.15, highlight_tint_hue=0.1, highlight_tint_sat=0.1),
+    "muted": Colour(saturation=0.7, vibrance=0.8, contrast=0.9, fade=0.05),
+    "punchy": Colour(contrast=1.25, saturation=1.25, vibrance=1.15, shadows=-0.1, highlights=0.1),
 }
 
 

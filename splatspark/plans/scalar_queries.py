@@ -239,15 +239,58 @@ def _(spark, d):
     return tidy(edit.coloured(rows, edit.Colour(contrast=1.3, gamma=2.2), rgb=True).select("gid", "c0", "c1", "c2"))
 
 
-@query("X23_compose_colours", "SELECT p1.n AS first, p2.n AS second, round(p1.b * p2.b, 6) + 0.0 AS brightness, round(p1.f + p2.f, 6) + 0.0 AS fade FROM (VALUES " + ", ".join(f"('{n}', {c.brightness}, {c.fade})" for n, c in edit.PRESETS.items()) + ") p1(n, b, f), (VALUES " + ", ".join(f"('{n}', {c.brightness}, {c.fade})" for n, c in edit.PRESETS.items()) + ") p2(n, b, f)")
+_LOOKS_SQL = """(VALUES
+    ('vibrant', 0.0, 0.0, 1.0, 1.05, 1.3, 1.2, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('dramatic', 0.0, 0.0, 1.0, 1.3, 1.1, 1.0, 1.0, -0.15, 0.05, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('bright', 0.0, 0.0, 1.2, 1.0, 1.0, 1.0, 0.9, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('dark', 0.0, 0.0, 0.8, 1.0, 1.0, 1.0, 1.1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('warm', 0.3, 0.05, 1.0, 1.0, 1.05, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('cool', -0.3, -0.05, 1.0, 1.0, 1.05, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ('cinematic', 0.0, 0.0, 1.0, 1.15, 0.9, 1.0, 1.0, -0.1, -0.05, 0.08, 0.6, 0.15, 0.1, 0.1),
+    ('muted', 0.0, 0.0, 1.0, 0.9, 0.7, 0.8, 1.0, 0.0, 0.0, 0.05, 0.0, 0.0, 0.0, 0.0),
+    ('punchy', 0.0, 0.0, 1.0, 1.25, 1.25, 1.15, 1.0, -0.1, 0.1, 0.0, 0.0, 0.0, 0.0, 0.0)
+) p(name, temperature, tint, brightness, contrast, saturation, vibrance, gamma, shadows, highlights, fade, shadow_tint_hue, shadow_tint_sat, highlight_tint_hue, highlight_tint_sat)"""
+_FACTORS = ("brightness", "contrast", "saturation", "vibrance", "gamma")
+_SHIFTS = ("temperature", "tint", "shadows", "highlights", "fade")
+_TINTS = ("shadow_tint_hue", "shadow_tint_sat", "highlight_tint_hue", "highlight_tint_sat")
+_SETTINGS = (*_FACTORS, *_SHIFTS, *_TINTS)
+
+
+def _composed(name: str) -> str:
+    a, b = f"a.{name}", f"b.{name}"
+    return f"{a} * {b}" if name in _FACTORS else f"{a} + {b}" if name in _SHIFTS else f"CASE WHEN {b} <> 0 THEN {b} ELSE {a} END"
+
+
+@query("X23_compose_colours", f"WITH k AS (SELECT * FROM {_LOOKS_SQL}) SELECT a.name AS first, b.name AS second, " + ", ".join(r(f"CAST({_composed(n)} AS DOUBLE)", n) for n in _SETTINGS) + " FROM k a, k b")
 def _(spark, d):
-    rows = [(a, b, float(c.brightness), float(c.fade)) for a, x in edit.PRESETS.items() for b, y in edit.PRESETS.items() for c in [x.then(y)]]
-    return tidy(spark.createDataFrame(rows, "first string, second string, brightness double, fade double"))
+    rows = [(a, b, *[float(getattr(x.then(y), n)) for n in _SETTINGS]) for a, x in edit.PRESETS.items() for b, y in edit.PRESETS.items()]
+    return tidy(spark.createDataFrame(rows, "first string, second string, " + ", ".join(f"{n} double" for n in _SETTINGS)))
 
 
-@query("X24_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c.temperature} AS DOUBLE), CAST({c.contrast} AS DOUBLE), CAST({c.saturation} AS DOUBLE))" for n, c in edit.PRESETS.items()) + ") p(name, temperature, contrast, saturation)")
+@query("X24_presets", "SELECT name, " + ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in _SETTINGS) + f" FROM {_LOOKS_SQL}")
 def _(spark, d):
-    return spark.createDataFrame([(n, float(c.temperature), float(c.contrast), float(c.saturation)) for n, c in edit.PRESETS.items()], "name string, temperature double, contrast double, saturation double")
+    return spark.createDataFrame([(k, *[float(getattr(c, n)) for n in _SETTINGS]) for k, c in edit.PRESETS.items()], "name string, " + ", ".join(f"{n} double" for n in _SETTINGS))
+
+
+TONED = edit.Colour(exposure=0.25, contrast=1.1, shadows=-0.3, highlights=0.2, vibrance=1.4, saturation=0.9, fade=0.05, shadow_tint_hue=0.5, shadow_tint_sat=0.2)
+
+
+@query(
+    "X22_tone",
+    f"WITH {SPLATS_SQL}, e AS (SELECT gid, shn[4] AS h0, shn[5] AS h1, shn[6] AS h2, " + ", ".join(f"((c{i} * {C0} + 0.5) * pow(2, 0.25) - 0.5) * 1.1 + 0.5 AS e{i}" for i in range(3)) + " FROM s), "
+    f"l AS (SELECT *, {clampq('0.299 * e0 + 0.587 * e1 + 0.114 * e2', 1.0, 0.0)} AS l FROM e), f AS (SELECT *, 1 - 0.3 * pow(1 - l, 2) + 0.2 * pow(l, 2) AS f, 0.2 * pow(1 - l, 2) AS k FROM l), "
+    # Hue 0.5 is cyan, whose luminance is 0.701.
+    "t AS (SELECT gid, f, h0, h1, h2, e0 * f - 0.701 * k AS t0, e1 * f + 0.299 * k AS t1, e2 * f + 0.299 * k AS t2 FROM f), "
+    "g AS (SELECT *, 0.299 * t0 + 0.587 * t1 + 0.114 * t2 AS g, 0.299 * h0 + 0.587 * h1 + 0.114 * h2 AS hg FROM t) SELECT gid, "
+    + ", ".join(r(f"(((g + (t{i} - g) * 0.9 * 1.2) * 0.95 + 0.5 * 0.05) - 0.5) / {C0}", f"c{i}") for i in range(3))
+    + ", "
+    + ", ".join(r(f"(hg + (h{i} - hg) * 0.9 * 1.2) * 0.95 * pow(2, 0.25) * 1.1 * f", f"h{i}") for i in range(3))
+    + " FROM g",
+)
+def _(spark, d):
+    """Exposure, vibrance, shadows, highlights and a tint of the shadows."""
+    out = edit.coloured(splats(spark, d), TONED)
+    return tidy(out.select("gid", "c0", "c1", "c2", *[F.element_at("shn", 4 + i).alias(f"h{i}") for i in range(3)]))
 
 
 _Q8 = lambda x, lo, hi: f"CAST(round_even(greatest(least(({x} - ({lo})) / (({hi}) - ({lo})), 1.0), 0.0) * 219, 0) AS INTEGER) + 16"

@@ -61,3 +61,26 @@ def _(spark, d):
     index = container.frame_index(made).groupBy("path").agg((F.max(F.col("offset") + F.col("size")) == F.sum("size")).alias("covered"))
     head = container.headers(spark, made).select("path", "n_splats", "n_frames", "n_chunks", "ranges_offset", "chunk_index_offset", "frame_index_offset", "low_offset")
     return head.join(index, "path")
+
+
+@query(
+    "P2_evaluate_batch",
+    f"WITH {TRACKS_SQL}, k AS (SELECT range * 0.3 AS t FROM range(40)), n AS (SELECT t, least(t, 11.0) AS u FROM k), m AS (SELECT t, CAST(floor(u) AS INTEGER) AS a, u - floor(u) AS share FROM n) "
+    f"SELECT m.t::DOUBLE AS t, p.gid, {r('p.x + share * (q.x - p.x)', 'x')}, {r('p.c0 + share * (q.c0 - p.c0)', 'c0')} FROM m JOIN t p ON p.frame = m.a JOIN t q ON q.gid = p.gid AND q.frame = least(m.a + 1, 11)",
+)
+def _(spark, d):
+    """A continuous source at many times, in one plan; behind the last frame it stands still."""
+    from ..sources.plugins import TableSource
+
+    times = spark.range(40).select((F.col("id") * 0.3).alias("t"))
+    out = TableSource(tracks(spark, d), 12).evaluate_batch(times)
+    return tidy(out.select("t", "gid", "x", "c0"))
+
+
+@query("P6_hash_order", f"WITH {TRACKS_SQL} SELECT frame, count(*) AS n, count(*) - 1 AS most, true AS whole FROM t GROUP BY frame")
+def _(spark, d):
+    """An order by its name gives each row of a frame a place of its own."""
+    from ..sources.plugins import ordered
+
+    ranks = ordered(tracks(spark, d).select("frame", "gid", "x", "y", "z"), "hash").withColumn("rank", F.col("rank").cast("bigint"))
+    return ranks.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("most"), (F.count_distinct("rank") == F.count(F.lit(1))).alias("whole"))
