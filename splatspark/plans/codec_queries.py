@@ -133,9 +133,12 @@ def _label_rows(spark, d):
     return rows
 
 
-@query("K12_label_payload")
+@query("K12_label_payload", f"WITH {TRACKS_SQL} SELECT CAST(frame // 4 AS INTEGER) AS chunk_id, frame, count(*) AS n, CAST(sum((gid * 7 + frame) % 65536) AS BIGINT) AS total, true AS small FROM t GROUP BY 1, 2")
 def _(spark, d):
-    return payloads.label_payloads(_label_rows(spark, d)).select("chunk_id", "frame", F.length("payload").alias("bytes"))
+    """Payloads by frame: what they decode to, and that they are smaller than two bytes a splat and a frame's overhead."""
+    made = payloads.label_payloads(_label_rows(spark, d))
+    back = payloads.labels(made).groupBy("chunk_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("total"))
+    return back.join(made, ["chunk_id", "frame"]).select("chunk_id", "frame", "n", "total", (F.length("payload") <= 2 * F.col("n") + 32).alias("small"))
 
 
 @query("A28_compressed_sizes")
@@ -143,15 +146,19 @@ def _(spark, d):
     return payloads.compressed_sizes(_low(spark, d), "lz")
 
 
-@query("T5_grid_sort")
+@query("T5_grid_sort", f"WITH {EVENTS_SQL} SELECT frame, count(*) AS n, count(*) - 1 AS most, true AS whole, true AS lowered FROM v GROUP BY frame")
 def _(spark, d):
-    return payloads.grid_sorted(event_splats(spark, d).select("frame", "gid", "x", "y", "z"))
+    """Every row of a frame has a cell of its own, and neighbours in the grid are no less alike than before."""
+    out = payloads.grid_sorted(event_splats(spark, d).select("frame", "gid", "x", "y", "z"))
+    n = F.count(F.lit(1))
+    return out.groupBy("frame").agg(n.alias("n"), F.max("cell").alias("most"), (F.count_distinct("cell") == n).alias("whole"), F.bool_and(F.col("after") <= F.col("before")).alias("lowered"))
 
 
-@query("T6_swap_refinement")
+@query("T6_swap_refinement", f"WITH {TRACKS_SQL}, g AS (SELECT DISTINCT CAST(frame // 4 AS INTEGER) AS chunk_id, gid FROM t) SELECT chunk_id, count(*) AS n, true AS whole, true AS lowered FROM g GROUP BY chunk_id")
 def _(spark, d):
     rows = sequences.by_chunk(tracks(spark, d)).groupBy("chunk_id", "gid").agg(F.min_by("x", "frame").alias("value")).withColumn("rank", F.col("gid"))
-    return payloads.swapped(rows)
+    n = F.count(F.lit(1))
+    return payloads.swapped(rows).groupBy("chunk_id").agg(n.alias("n"), ((F.count_distinct("rank") == n) & (F.min("rank") == 0) & (F.max("rank") == n - 1)).alias("whole"), F.bool_and(F.col("after") <= F.col("before")).alias("lowered"))
 
 
 # Sources and sinks
@@ -216,7 +223,17 @@ def _(spark, d):
     return rows.select("chunk_id", "start_frame", "end_frame", "n_splats", rows.means_min[1].alias("min_y"), rows.means_max[2].alias("max_z"), rows.scales_max[2].alias("scale_z"))
 
 
-@query("S23_generated_scene")
+def _unit_sql(k: int) -> str:
+    u = f"((gid * 1103515245 + {(k + 1) * 747796405 + 42 * 2654435 + 97}) % 2147483647)"
+    u = f"(({u} * {u} + {k + 1} * 40503) % 2147483647)"
+    return f"(({u} * 48271 % 2147483647) / 2147483647.0)"
+
+
+@query(
+    "S23_generated_scene",
+    f"SELECT gid, CAST(f.range AS INTEGER) AS frame, {r(f'{_unit_sql(0)} * 2 - 1', 'x')}, {r(f'{_unit_sql(1)} * 2 - 1 + 0.1 * sin(2 * pi() * f.range / 12 + {_unit_sql(0)} * 2 - 1)', 'y')}, "
+    f"{r(f'{_unit_sql(2)} * 2 - 1', 'z')}, {r(f'{_unit_sql(3)} * 2 - 5', 's0')}, {r(f'{_unit_sql(4)} * 10 - 3', 'opacity')} FROM (SELECT range AS gid FROM range(500)), range(12) f",
+)
 def _(spark, d):
     return tidy(generated.oscillating(spark, 500, 12))
 
@@ -263,12 +280,26 @@ def _(spark, d):
     return streams.drained(streams.distinct_frames(streams.event_stream(spark, d)), "append").select("event_id", "user_id")
 
 
-@query("R8_breaker_batch")
+_BREAKER_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS failed, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, 'closed' AS met, 'closed' AS state, 0 AS bad, 0 AS good, CAST(0 AS DOUBLE) AS last FROM e
+  UNION ALL
+  SELECT user_id, n, event_id, met,
+    CASE WHEN failed AND met = 'half_open' THEN 'open' WHEN failed AND met = 'closed' AND bad >= 2 THEN 'open' WHEN NOT failed AND met = 'half_open' AND good >= 1 THEN 'closed' ELSE met END,
+    CASE WHEN failed AND met = 'closed' THEN bad + 1 WHEN NOT failed AND (met = 'closed' OR met = 'half_open' AND good >= 1) THEN 0 ELSE bad END,
+    CASE WHEN NOT failed AND met = 'half_open' THEN good + 1 ELSE good END,
+    CASE WHEN failed THEN t ELSE last END
+  FROM (SELECT e.user_id, e.n, e.event_id, e.failed, e.t, s.bad, s.last, CASE WHEN s.state = 'open' AND e.t - s.last >= 60 THEN 'half_open' ELSE s.state END AS met,
+    CASE WHEN s.state = 'open' AND e.t - s.last >= 60 THEN 0 ELSE s.good END AS good FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+) SELECT user_id, event_id, met, state FROM s WHERE n > 0"""
+
+
+@query("R8_breaker_batch", _BREAKER_SQL)
 def _(spark, d):
     return streams.breaker_batch(table(spark, d, "events"))
 
 
-@query("R8_breaker_stream")
+@query("R8_breaker_stream", _BREAKER_SQL)
 def _(spark, d):
     return streams.drained(streams.breaker_stream(streams.event_stream(spark, d)), "append")
 
@@ -276,5 +307,5 @@ def _(spark, d):
 @query("R4_matcher_stream")
 def _(spark, d):
     e = streams.event_stream(spark, d)
-    frames = e.select((F.col("event_id") % 7).alias("scene"), F.floor(F.col("event_id") / 70).cast("int").alias("frame"), F.floor(F.col("event_id") / 280).cast("int").alias("chunk_id"), F.col("event_id").alias("gid"), F.col("value").alias("x"))
+    frames = e.select((F.col("event_id") % 7).alias("scene"), F.floor(F.col("event_id") / 70).cast("int").alias("frame"), F.floor(F.col("event_id") / 280).cast("int").alias("chunk_id"), F.col("event_id").alias("gid"), (F.col("value") / 100).alias("x"), (F.col("user_id") % 10 / 10).alias("y"), (F.col("event_id") * 7 % 13 / 13).alias("z"))
     return streams.drained(streams.matcher_stream(frames), "append")

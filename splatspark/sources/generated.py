@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def oscillating(spark: SparkSession, n: int, frames: int, seed: int = 42) -> DataFrame:
-    """n splats over frames; y swings once over the sequence, shifted by x. Values follow from (seed, gid) by hash, so any
-    partitioning gives the same scene."""
+    """n splats over frames; y swings once over the sequence, shifted by x. Values follow from (seed, gid) by squaring modulo a prime,
+    so any partitioning gives the same scene. Ids are below 2^32."""
 
     def unit(k: int):
-        return F.pmod(F.xxhash64(F.lit(seed), "gid", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+        p = F.lit(2147483647)
+        u = (F.col("gid") * 1103515245 + F.lit((k + 1) * 747796405 + seed * 2654435 + 97)) % p
+        u = (u * u + F.lit((k + 1) * 40503)) % p
+        return (u * 48271 % p) / 2147483647.0
 
     rows = spark.range(n).withColumnRenamed("id", "gid").select("gid", *[(unit(i) * 2 - 1).alias(c) for i, c in enumerate("xyz")], (unit(3) * 2 - 5).alias("s0"), (unit(4) * 10 - 3).alias("opacity"))
     rows = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,30 +109,83 @@ def breaker_stream(events: DataFrame, breaker: Breaker = Breaker()) -> DataFrame
     return events.groupBy("user_id").applyInPandasWithState(run, BREAKER, "name string, failures long, successes long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of b nearest to each row of a, of several the first, and the squared distance. Rows are looked up outwards along the first axis, until that axis alone is farther than the best."""
+    order = np.argsort(b[:, 0], kind="stable")
+    along, m = b[order, 0], len(b)
+    right = np.searchsorted(along, a[:, 0])
+    left = right - 1
+    best, who, left_over = np.full(len(a), np.inf), np.full(len(a), m), np.arange(len(a))
+    while len(left_over):
+        going = np.zeros(len(left_over), bool)
+        for side in (left, right):
+            i = side[left_over]
+            gap = along[np.clip(i, 0, m - 1)] - a[left_over, 0]
+            near = (i >= 0) & (i < m) & (gap * gap <= best[left_over])
+            rows, found = left_over[near], order[i[near]]
+            d2 = ((a[rows] - b[found]) ** 2).sum(axis=1)
+            better = (d2 < best[rows]) | (d2 == best[rows]) & (found < who[rows])
+            best[rows[better]], who[rows[better]] = d2[better], found[better]
+            going |= near
+        left[left_over] -= 1
+        right[left_over] += 1
+        left_over = left_over[going]
+    return who, best
+
+
+def claimed(current: np.ndarray, slots: np.ndarray, passes: int = 10) -> np.ndarray:
+    """Slot of each row, or -1: in each pass rows without a slot claim the nearest free one, of which the nearest claim wins, then the first."""
+    out = np.full(len(current), -1)
+    free = np.arange(len(slots))
+    for _ in range(passes):
+        left = np.flatnonzero(out < 0)
+        if not len(left) or not len(free):
+            break
+        who, d2 = nearest(current[left], slots[free])
+        order = np.lexsort((left, d2, who))
+        won = order[np.unique(who[order], return_index=True)[1]]
+        out[left[won]] = free[who[won]]
+        free = np.delete(free, who[won])
+    return out
+
+
+def conformed(current: np.ndarray, slots: np.ndarray, active: np.ndarray, passes: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot of each row of a frame, and slots and active marks after it. Rows match active slots first, then vacant ones, then take what is free in order;
+    rows beyond that get new slots. Slots that no row has keep their place and become inactive."""
+    chosen = np.full(len(current), -1)
+    for part in (np.flatnonzero(active), np.flatnonzero(~active)):
+        left = np.flatnonzero(chosen < 0)
+        got = claimed(current[left], slots[part], passes)
+        chosen[left[got >= 0]] = part[got[got >= 0]]
+    left = np.flatnonzero(chosen < 0)
+    free = np.setdiff1d(np.arange(len(slots)), chosen)
+    more = max(0, len(left) - len(free))
+    chosen[left] = np.concatenate((free, np.arange(len(slots), len(slots) + more)))[: len(left)]
+    slots = np.concatenate((slots, np.zeros((more, 3))))
+    active = np.zeros(len(slots), bool)
+    slots[chosen], active[chosen] = current, True
+    return chosen, slots, active
+
+
 def matcher_stream(frames: DataFrame) -> DataFrame:
-    """(scene, frame, gid, slot): splats of a frame take the slots of the frame before that are nearest in all; a new chunk starts anew.
+    """(scene, frame, gid, slot): splats of a frame take the slots of the frame before by nearness in space; a new chunk starts anew.
 
-    ``frames`` is a stream of (scene, frame, chunk_id, gid, x). The state of a scene is its last frame's positions, bounded by the splats of a frame.
+    ``frames`` is a stream of (scene, frame, chunk_id, gid, x, y, z), whose frames come whole and in order. The state of a scene is its slots, bounded by the splats of a chunk.
     """
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunk, slots = (state.get[0], list(state.get[1])) if state.exists else (-1, [])
+        chunk, flat, marks = state.get if state.exists else (-1, [], [])
+        slots, active = np.array(flat, float).reshape(-1, 3), np.array(marks, bool)
         out = []
         for (frame, c), pdf in pd.concat(list(parts)).sort_values(["frame", "gid"]).groupby(["frame", "chunk_id"]):
-            xs = pdf["x"].to_list()
-            if c != chunk or len(slots) != len(xs):
-                chunk, slots, order = int(c), xs, list(range(len(xs)))
-            else:
-                # Along x the assignment of least total distance is the one by rank.
-                order = [0] * len(xs)
-                for i, slot in zip(sorted(range(len(xs)), key=lambda k: (xs[k], k)), sorted(range(len(slots)), key=lambda k: (slots[k], k))):
-                    order[i] = slot
-                slots = [x for _, x in sorted(zip(order, xs))]
-            out += [(key[0], int(frame), int(g), s) for g, s in zip(pdf["gid"], order)]
-        state.update((chunk, slots))
-        yield pd.DataFrame(out, columns=["scene", "frame", "gid", "slot"])
-
-    return frames.groupBy("scene").applyInPandasWithState(run, "scene bigint, frame int, gid bigint, slot bigint", "chunk long, slots array<double>", "append", GroupStateTimeout.NoTimeout)
+            if c != chunk:
+                chunk, slots, active = int(c), np.zeros((0, 3)), np.zeros(0, bool)
+            chosen, slots, active = conformed(pdf[["x", "y", "z"]].to_numpy(float), slots, active)
+            out.append(pd.DataFrame({"scene": key[0], "frame": np.int32(frame), "gid": pdf["gid"].to_numpy(), "slot": chosen}))
+        state.update((chunk, slots.ravel().tolist(), active.tolist()))
+        yield pd.concat(out)
+
+    return frames.groupBy("scene").applyInPandasWithState(run, "scene bigint, frame int, gid bigint, slot bigint", "chunk long, slots array<double>, active array<boolean>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:

@@ -128,6 +128,7 @@ def test_randomised_orders(spark):
     rows = tracks(spark, SF).where("frame < 2").select("frame", "gid", "x", "y", "z")
     cells = payloads.grid_sorted(rows).collect()
     assert all(sorted(r.cell for r in cells if r.frame == f) == list(range(500)) for f in (0, 1))
+    assert all(r.after < 0.8 * r.before for r in cells)
     chain = rows.select(F.col("frame").alias("chunk_id"), "gid", F.col("gid").alias("rank"), F.col("x").alias("value"))
     out = payloads.swapped(chain).collect()
     assert all(sorted(r["rank"] for r in out if r.chunk_id == f) == list(range(500)) for f in (0, 1)) and all(r.after < r.before for r in out)
