@@ -71,11 +71,12 @@ def surrounding(times: DataFrame, keys: DataFrame, by: list[str] | None = None,
 
     ``keys`` has key (bigint) and kt. Before the first key frame both are the first, behind the last both the last. Of key frames of
     one time the last is before and the first after. Times and key frames meet in windows over buckets of time; what a bucket
-    lacks at its ends comes from the first and last key frames of the others, one row a bucket.
+    lacks at its ends comes from the first and last key frames of the others, one row a bucket. Key frames without a time are left out;
+    a time that is null has none.
     """
     by = by or []
     rows = times.withColumns({"key": F.lit(None).cast("bigint"), "order": F.lit(1)})
-    rows = rows.unionByName(keys.withColumnRenamed("kt", "t").withColumn("order", F.lit(0)), allowMissingColumns=True)
+    rows = rows.unionByName(keys.where("kt is not null").withColumnRenamed("kt", "t").withColumn("order", F.lit(0)), allowMissingColumns=True)
     extent = rows.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     share = F.coalesce(F.try_divide(F.col("t") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     rows = rows.crossJoin(F.broadcast(extent)).withColumn("_bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
@@ -87,13 +88,13 @@ def surrounding(times: DataFrame, keys: DataFrame, by: list[str] | None = None,
         F.last("_last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_left"),
         F.first("_first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_right"),
     )
-    w = W.partitionBy(*by, "_bucket").orderBy("t", "order", "key")
-    rows = rows.withColumns(
-        {"before": F.last(key, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.first(key, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))}
-    )
+    # Both frames grow row by row: one that shrinks from its front is read anew for each row, the square of a bucket in time.
+    bucket, sofar = W.partitionBy(*by, "_bucket"), (W.unboundedPreceding, 0)
+    up, down = bucket.orderBy("t", "order", "key").rowsBetween(*sofar), bucket.orderBy(F.desc("t"), "order", F.desc("key")).rowsBetween(*sofar)
+    rows = rows.withColumns({"before": F.last(key, ignorenulls=True).over(up), "after": F.last(key, ignorenulls=True).over(down)})
     rows = rows.where("order = 1").drop("key", "order").join(ends, [*by, "_bucket"])
     before, after = F.coalesce("before", "_left"), F.coalesce("after", "_right")
-    b, a = F.coalesce(before, after), F.coalesce(after, before)
+    b, a = (F.when(F.col("t").isNotNull(), F.coalesce(*x)) for x in ((before, after), (after, before)))
     # A time on a key frame is that key frame.
     a = F.when(F.col("t") == b["kt"], b).otherwise(a)
     part = F.when(a["kt"] == b["kt"], 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(F.col("t") - b["kt"], a["kt"] - b["kt"])))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -156,6 +157,34 @@ def test_surrounding_edges(spark):
     assert got == {-1.0: (0, 0, 0.0), 0.0: (0, 0, 0.0), 0.5: (0, 1, 0.5), 1.0: (2, 2, 0.0), 3.0: (3, 3, 0.0)}
 
 
+def plan(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_surrounding_reads_a_bucket_once(spark):
+    """All rows in one bucket: frames over them grow row by row. A frame up to the end may stand over the buckets' ends only."""
+    rng = random.Random(6)
+    times = [(i, rng.choice([None, *range(300)])) for i in range(600)]
+    keys = [(i, rng.choice([None, *range(20, 280)])) for i in range(150)]
+    t = spark.createDataFrame([(i, x if x is None else x / 4) for i, x in times], "id bigint, t double")
+    k = spark.createDataFrame([(i, x if x is None else x / 4) for i, x in keys], "key bigint, kt double")
+    for buckets in (1, 256):
+        found = timeline.surrounding(t, k, buckets=buckets)
+        frames = re.findall(r"(\w+)#\d+L? (?:ASC NULLS FIRST|DESC NULLS LAST), specifiedwindowframe\(RowFrame, (\S+ \S+)", plan(found))
+        assert len(frames) == 4 and {x[0] for x in frames if "unboundedfollowing" in x[1]} == {"_bucket"}
+        got = {r.id: (r.key_before, r.key_after, r.share) for r in found.collect()}
+        known = [(x / 4, i) for i, x in keys if x is not None]
+        for i, x in times:
+            if x is None:
+                assert got[i] == (None, None, 0.0)
+                continue
+            before, after = [p for p in known if p[0] <= x / 4], [p for p in known if p[0] > x / 4]
+            b = max(before) if before else min(after)
+            a = b if b[0] == x / 4 or not after else min(after)
+            share = 0.0 if a[0] == b[0] else (x / 4 - b[0]) / (a[0] - b[0])
+            assert got[i] == (b[1], a[1], share)
+
+
 def test_interpolation_needs_both(spark):
     s = tracks(spark, SF).drop("active").where("frame <> 1 or gid <> 3")
     with pytest.raises(Exception, match="missing"):
