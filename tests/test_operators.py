@@ -185,6 +185,17 @@ def test_surrounding_reads_a_bucket_once(spark):
             assert got[i] == (b[1], a[1], share)
 
 
+def test_nearest_in_one_bucket(spark):
+    """A time far off puts all others in one bucket; of two key frames as near, the earlier."""
+    t = spark.range(4000).select((F.col("id") / 8).alias("t")).union(spark.createDataFrame([(1e9,), (None,)], "t double"))
+    k = spark.range(250).select(F.col("id").alias("key"), (F.col("id") * 2.0).alias("kt"))
+    found = timeline.nearest(t, k)
+    assert "currentrow$(), unboundedfollowing$()" not in plan(found)
+    got = {r.t: r.key for r in found.collect()}
+    assert got.pop(1e9) == 249 and got.pop(None) is None
+    assert got == {i / 8: min(249, math.ceil(i / 16 - 0.5)) for i in range(4000)}
+
+
 def test_interpolation_needs_both(spark):
     s = tracks(spark, SF).drop("active").where("frame <> 1 or gid <> 3")
     with pytest.raises(Exception, match="missing"):
