@@ -1,12 +1,14 @@
 """Operator 2 by similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At this similarity 64-bit fingerprints are 10 bits apart on average and up to 18, where the triangle bounds of whole fingerprints prune
-nothing (README has figures). So sets are dealt into shards by min-hashes instead, and the bounds are taken inside the shards, on exact distances:
+The SimHash fingerprints of the sets are linked through vantage-point shards as in operator 2, and the sets of linked ones are compared exactly. At
+a similarity of 0.8 fingerprints of 64 bits are 10 bits apart on average and up to 18, where the triangle bounds of whole fingerprints prune
+nothing (README has figures). So for the pairs that are less alike, sets are dealt into shards by min-hashes, too, and the bounds are taken inside the
+shards, on exact distances:
 
-1. Each document gives the key of its shingle set and ``BANDS`` fingerprints, each of ``BAND_ROWS`` min-hashes. Two sets of
-   similarity s agree on a fingerprint with probability s ** BAND_ROWS, so a pair at 0.8 shares none with probability 3e-5
+1. Each document gives the key of its shingle set, a SimHash and ``BANDS`` min-hash fingerprints, each of ``BAND_ROWS`` min-hashes. Two sets of
+   similarity s agree on one of these with probability s ** BAND_ROWS, so a pair at 0.8 shares none with probability 3e-5
    and is found otherwise. Equal sets are one from here on.
-2. Sets that share a fingerprint are a shard. Its vantage point is the set that shares fingerprints most often, which in a group of edited copies is
+2. Sets that share a min-hash fingerprint are a shard. Its vantage point is the set that shares fingerprints most often, which in a group of edited copies is
    the text that they were edited from, or near it. Each set is compared with the best of its vantage points, set by set; a large group of
    copies costs a pair a copy, not the square of the group.
 3. In shards that still hold several components, all sets are compared with the vantage point.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_slices
@@ -41,6 +44,8 @@ SLACK = 1e-9
 UNSHARED = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Differences of up to so many shingles are compared where they meet; greater ones are fetched again.
 CARRIED = 512
+#: SimHash fingerprints that differ in so many bits at most are linked.
+MAX_BITS = 4
 
 _random = np.random.default_rng(42)
 _FLIPS = _random.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
@@ -83,6 +88,20 @@ def band_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_fingerprints(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: bit i is set if it is set in over half of the shingles. An empty set's is zero."""
+    out = np.zeros(len(counts), np.uint64)
+    sizes = counts[counts > 0]
+    if len(sizes):
+        starts = np.cumsum(sizes) - sizes
+        ones = np.zeros((len(sizes), 64), np.uint8)
+        for byte in range(8):
+            bits = np.unpackbits((shingles >> np.uint64(8 * byte)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+            ones[:, 8 * byte : 8 * byte + 8] = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
+        out[counts > 0] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat.view(np.int64)))
 
@@ -98,9 +117,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, texts in text_slices(batch.column(1)):
             shingles, counts = shingle_sets(texts)
             bands = _lists(band_keys(shingles, counts).ravel(), np.where(counts > 0, BANDS, 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), _set_keys(shingles, counts), pa.array(counts, pa.int32()), bands], names=["doc_id", "set_key", "size", "bands"]
-            )
+            fps = pa.array(set_fingerprints(shingles, counts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _set_keys(shingles, counts), fps, bands], names=["doc_id", "set_key", "fp", "bands"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +172,8 @@ def _linked_rest(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: Da
     rare = F.filter(F.slice("ordered", F.lit(1), F.col("n_rare")), lambda x: x["n"] > 1)["element"]
     small = F.when(F.size("diff") <= CARRIED, F.col("diff"))
     names = ("set_key", "label", "far", "spare", "n_diff", "diff")
-    mine = checkpointed(keys.select("leader", F.explode(rare).alias("element"), "set_key", "label", "far", "spare", F.size("diff").alias("n_diff"), small.alias("diff")))
+    mine = keys.select("leader", F.explode(rare).alias("element"), "set_key", "label", "far", "spare", F.size("diff").alias("n_diff"), small.alias("diff"))
+    mine = mine.repartition("leader", "element")  # one exchange for both sides
     other = mine.select("leader", "element", *[F.col(c).alias(f"other_{c}") for c in names])
     least = F.col("spare") + F.col("other_spare") - SLACK
     may = (mine["leader"] == other["leader"]) & (mine["element"] == other["element"])
@@ -169,6 +188,17 @@ def _linked_rest(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: Da
     return labels if more.isEmpty() else component_labels(links.union(more))
 
 
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): the sets of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    from .simhash import fingerprint_links  # that module has this one's components
+
+    firsts = checkpointed(sets.groupBy("fp").agg(F.min("set_key").alias("first")))
+    same = sets.join(firsts, "fp").where("set_key <> first").select(F.col("set_key").alias("a"), F.col("first").alias("b"))
+    side = lambda fp, name: firsts.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    links = fingerprint_links(firsts.select("fp"), MAX_BITS).distinct().toDF("fp_a", "fp_b")
+    return same.union(links.join(side("fp_a", "a"), "fp_a").join(side("fp_b", "b"), "fp_b").select("a", "b"))
+
+
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, component_id) of every row with an id.
 
@@ -177,15 +207,14 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    signed = checkpointed(rows.mapInArrow(_signatures, "doc_id bigint, set_key bigint, size int, bands array<bigint>"))
-    sets = checkpointed(signed.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    entries = sets.select(F.explode("bands").alias("band"), "set_key", "size")
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = checkpointed(entries.join(shared, "band"))
+    signed = checkpointed(rows.mapInArrow(_signatures, "doc_id bigint, set_key bigint, fp bigint, bands array<bigint>"))
+    sets = checkpointed(signed.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    entries = sets.select(F.explode("bands").alias("band"), "set_key")
+    entries = checkpointed(entries.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("band"))).where("n > 1"))
     central = entries.groupBy("set_key").agg(F.sum("n").alias("central"))
-    entries = entries.join(central, "set_key").select("band", "set_key", "size", F.struct("central", "set_key").alias("rank"))
+    entries = entries.join(central, "set_key").select("band", "set_key", F.struct("central", "set_key").alias("rank"))
     vantage = entries.groupBy("band").agg(F.max("rank").alias("leader_rank"))
-    entries = checkpointed(entries.join(vantage, "band").select("band", "set_key", "size", F.col("leader_rank.set_key").alias("leader"), "leader_rank"))
+    entries = checkpointed(entries.join(vantage, "band").select("band", "set_key", F.col("leader_rank.set_key").alias("leader"), "leader_rank"))
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """``rows`` of those shards that hold several components, with the label of each set."""
@@ -195,7 +224,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     near = F.col("similarity") >= SIMILARITY
     first = entries.where("set_key <> leader").groupBy(F.col("set_key").alias("a")).agg(F.max("leader_rank").alias("best")).select("a", F.col("best.set_key").alias("b"))
-    scored = _compared(checkpointed(first), sets, rows, broadcast_rows)
+    scored = _compared(checkpointed(_simhash_pairs(sets).union(first).distinct()), sets, rows, broadcast_rows)
     links = scored.where(near).select("a", "b")
     labels = checkpointed(component_labels(links))
     open_ = labelled(entries, labels)

@@ -72,3 +72,28 @@ def test_sets_of_a_slice_are_those_of_each_text():
         at += counts[i]
         if n[0]:
             assert (near_copies.band_keys(alone, n)[0] == keys[i - 2 * (i > 20)]).all()
+
+
+def test_simhash_of_sets():
+    texts = [r[1].encode() for r in near_rows()[:20]] + [b"", b"a b c", b"a a a a a a a a"]
+    shingles, counts = near_copies.shingle_sets(texts)
+    got, at = near_copies.set_fingerprints(shingles, counts), 0
+    for i, n in enumerate(counts.tolist()):
+        mine = [int(x) for x in shingles[at : at + n]]
+        assert int(got[i]) == sum(1 << b for b in range(64) if n and 2 * sum(x >> b & 1 for x in mine) > n)
+        at += n
+
+
+def test_groups_come_through_simhash(spark, monkeypatch):
+    """Fingerprints are linked through vantage-point shards first; their groups are compared exactly, and sets that are less similar stay apart."""
+    linked, pairs, compared = [], [], near_copies._compared
+    links = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: linked.append(a) or links(*a))
+    monkeypatch.setattr(near_copies, "_compared", lambda found, *a: pairs.append(found.count()) or compared(found, *a))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(9000)}" for _ in range(2000)]
+    docs = [" ".join(edited(rng, base, k)) for k in (0, 1, 2, 3)] + [f"a{i} b c d e f" for i in range(5)]
+    data = [(i, t, "en", "s", len(t), "x", "y", "z") for i, t in enumerate(docs)]
+    kept = simhash.one_of_each_group(frame(spark, data))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6, 7, 8]
+    assert len(linked) == 1 and pairs[0] >= 3
